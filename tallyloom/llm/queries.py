@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import byte_bpe, minhash_dedup, quality_rules, secret_scan, substring_dedup, token_store
+from tallyloom.llm import byte_bpe, decontaminate, minhash_dedup, quality_mil, quality_rules, secret_scan, substring_dedup, token_store
 from tallyloom.llm.shared import table
 
 
@@ -26,10 +26,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.query(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_token_store": op4_token_store,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_quality_mil": op7_quality_mil,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

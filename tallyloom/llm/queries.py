@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import byte_bpe, decontaminate, minhash_dedup, quality_mil, quality_rules, secret_scan, substring_dedup, token_store
+from tallyloom.llm import byte_bpe, decontaminate, license_scan, minhash_dedup, quality_mil, quality_rules, secret_scan, substring_dedup, token_rollup, token_store
 from tallyloom.llm.shared import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.query(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.query(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,8 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_token_store": op4_token_store,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_rollup": op6_token_rollup,
     "op7_quality_mil": op7_quality_mil,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontaminate": op9_decontaminate,

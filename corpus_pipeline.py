@@ -1,29 +1,58 @@
-"""The corpus pipeline: its stages, and run() over documents."""
+"""The corpus pipeline: documents in, token ids of kept documents out.
+
+Each stage takes all that the one before it kept and returns the columns of documents, but for the last, which returns
+ids. run() writes every stage to the shared folder and reads it again, so a lost executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import byte_bpe, decontaminate, minhash_dedup, quality_rules, secret_scan
+from tallyloom.llm.shared import table
+from tallyloom.session import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each class of near duplicates."""
+    return minhash_dedup.keep_one(docs)
+
 
-from tallyloom.llm import byte_bpe, secret_scan
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to marks; n_chars follows the new text."""
-    return secret_scan.redact_secrets(docs)
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with marks for secrets; n_chars follows the text."""
+    return secret_scan.redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every kept document."""
+    """doc_id, n_tokens and ids of all documents."""
     return byte_bpe.encode_documents(docs)
 
 
-STAGES = [("secret scans", redact_secrets), ("byte-level BPE", encode)]
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret scans", secrets),
+    ("byte-level BPE", encode),
+]
 
+#: Learned rules, sampled bands and merges can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

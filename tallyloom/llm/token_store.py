@@ -17,6 +17,8 @@ makes a longer chunk.
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -92,24 +94,64 @@ def from_planes(planes: list[bytes], n_ids: int, kind: str = "byte", block: int
     return np.ascontiguousarray(raw).reshape(-1).view("<u4")[:n_ids]
 
 
+PUNCTUATION = string.punctuation.encode()
+#: Words of Latin letters that lower case and composition leave in as many letters.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+").fullmatch
+
+
+def _byte_letters() -> list[str]:
+    """The character for each byte under byte-level BPE: itself where it is printable, else the next from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(0x100 + other.index(b)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _ends_in_letter(core: bytes) -> bool:
+    """Whether the tokenizer surely breaks between core and ASCII punctuation: after an ASCII or Latin letter or a digit."""
+    last = core[-4:].decode("utf-8", "ignore")[-1:]
+    return last.isalnum() and (last.isascii() or "\u00c0" <= last <= "\u024f")
+
+
 class _WordIds(dict):
     """Ids of words between ASCII white space. The tokenizer turns white space into breaks, so that a text's ids are
-    those of its words in turn."""
+    those of its words in turn. Case and trailing punctuation are resolved before the tokenizer is asked, since it
+    lowers case and breaks there itself, and words differ in them far more than in their letters."""
 
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(raw.decode("utf-8"))
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        ids = tuple(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+        core = word.rstrip(PUNCTUATION)
+        if b"<|" in word:  # may hold a special token, which is told apart before anything else
+            ids = self._whole(word)
+        elif word.isascii() and (low := word.lower()) != word:
+            ids = self[low]
+        elif core and len(core) < len(word) and _ends_in_letter(core):
+            ids = self[core] + self[word[len(core) :]]
+        elif LATIN(text := word.decode("utf-8")):
+            ids = self._letters(text)
+        else:
+            ids = self._whole(word)
         if len(word) <= 256:
             self[word] = ids
         return ids
 
+    def _letters(self, word: str) -> tuple[int, ...]:
+        """Ids of Latin letters in their composed form: one pre-token, so its lower-case bytes go to the merges at once."""
+        return tuple(t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, word.lower().encode("utf-8")))))
+
+    def _whole(self, word: bytes) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+
 
 def _encoder(raw: bytes):
     words = worker_cache(("word_ids", len(raw), hash(raw)), lambda: _WordIds(raw))

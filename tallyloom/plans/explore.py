@@ -52,7 +52,7 @@ def page_slice(spark, d):
     return q.slice(works(spark, d)).select("rank", "work", "title", "year")
 
 
-@query("display_columns", CHAIN + "select work, printf('%.2f', round(consensus, 6)) as consensus, printf('%.1f', 100 * support_rate) || '%' as support, case when place_ambition is null then '—' else printf('%.2f', round(place_ambition, 6)) end as place, replace(medium, '_', ' ') as medium, lpad(cast(rank as varchar), cast(greatest(3, length(cast(rank as varchar))) as integer), '0') as rank from works")
+@query("display_columns", CHAIN + "select work, cast(round(cast(round(consensus, 6) as decimal(18, 6)), 2) as varchar) as consensus, printf('%.1f', 100 * support_rate) || '%' as support, case when place_ambition is null then '—' else cast(round(cast(round(place_ambition, 6) as decimal(18, 6)), 2) as varchar) end as place, replace(medium, '_', ' ') as medium, lpad(cast(rank as varchar), cast(greatest(3, length(cast(rank as varchar))) as integer), '0') as rank from works")
 def display_columns(spark, d):
     w = works(spark, d).withColumns({"consensus": F.round("consensus", 6), "place_ambition": F.round("place_ambition", 6)})
     f = {x.key: x.shown() for x in FIELDS}

@@ -61,7 +61,7 @@ def normalize_full(text: Column) -> Column:
 def normalize_html(html: Column) -> Column:
     """Tags go, the common entities are read, & is the word and, articles stay."""
     x = F.regexp_replace(html, "<[^>]+>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
     return normalize(x, half=False, articles=False)
 

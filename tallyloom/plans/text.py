@@ -14,7 +14,7 @@ _bare = lambda c: f"trim(regexp_replace({c}, '^(the|a|an) ', ''))"
 F1 = _bare(_words(_fold("replace(replace(text, '½', ' half '), '&', ' and ')")))
 F2 = _bare(_words(f"replace({_fold('text')}, '&', ' and ')"))
 F4 = _words(_fold("text"))
-_entities = lambda c: f"replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_entities = lambda c: f"replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 F3 = _words(_fold("replace(" + _entities("regexp_replace(html, '<[^>]+>', ' ', 'g')") + ", '&', ' and ')"))
 
 

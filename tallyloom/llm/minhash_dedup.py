@@ -7,9 +7,9 @@ between two texts with a probability of their weighted Jaccard similarity; bands
 every candidate is verified on the whole weighted sets.
 
 Equal word sequences are one text from the start. In a bucket of up to SMALL texts all pairs are candidates; in a larger
-one every text is compared with a leader of the bucket, and the texts that aren't similar to it are dealt again by a
-second and a third band, so that texts that only share a passage part while similar ones stay together.
-Buckets have their own leaders in each band, so a text meets many.
+one every text is compared with a few leaders of the bucket, and the whole bucket is dealt again by a second and a third
+band, so that texts that only share a passage part while similar ones stay together. Leaders are those of the least ids
+and hashes, the same in every band that they are in, so a large group makes few candidates.
 
 Defined results: a text of one to four words is one shingle, texts without words are equal to each other; a null text
 has no words; a null id is replaced by a hash of the text; rows that share an id are one class; other columns pass
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.graphs import components
-from tallyloom.llm.shared import ship, worker_cache
+from tallyloom.llm.shared import batch_bytes, ship, worker_cache
 from tallyloom.llm.shingles import gram_hashes, mixed, sequence_key, word_hashes, words_of
+from tallyloom.operators.components import components
 from tallyloom.session import written
 
 SHINGLE = 5
@@ -37,8 +37,12 @@ BANDS, ROWS = 16, 4
 DF_BITS, STEPS = 17, 16
 #: Texts of a bucket up to which all its pairs are candidates.
 SMALL = 8
+#: Leaders of a larger bucket: the text of the least id, and those of the least hashes of it.
+LEADERS = 3
 LEVELS = 3
 _POOL = 1 << 16
+#: Bytes of weighted sets that go to a Python worker at once.
+SET_BATCH = "8m"
 
 SIGNED = "id long, seq_a long, seq_b long, bands array<long>"
 SIGNED_ARROW = pa.schema([("id", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -99,10 +103,12 @@ class Sampler:
             return np.zeros(BANDS, dtype=np.int64)
         offset = ((e & np.uint64(STEPS - 1)) * np.uint64(_POOL)).astype(np.int32)
         picked = np.empty(BANDS * ROWS, dtype=np.uint64)
-        for k, multiplier in enumerate(self.multipliers):
-            at = ((e * multiplier) >> np.uint64(48)).astype(np.int32) + offset
-            best = int(np.argmin(self.rank[at]))
-            picked[k] = e[best] + self.t[at[best]]
+        step = max(1, min(len(picked), _POOL // len(e)))
+        for k in range(0, len(picked), step):
+            at = ((e * self.multipliers[k : k + step, None]) >> np.uint64(48)).astype(np.int32)
+            at += offset
+            best = self.rank.take(at).argmin(axis=1)
+            picked[k : k + step] = e[best] + self.t[at[np.arange(len(best)), best]]
         rows = mixed(picked.reshape(BANDS, ROWS) * self.mix)
         return mixed(rows.sum(axis=1, dtype=np.uint64)).view(np.int64)
 
@@ -134,17 +140,23 @@ def document_frequencies(own: DataFrame) -> tuple[np.ndarray, int]:
     return df, n_docs
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(key, id, a, b): every text of a bucket with each of its leaders, a < b."""
+    led = members.select("key", "id", F.explode("leaders").alias("leader")).where("id <> leader")
+    return led.select("key", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+
+
 def _pairs(members: DataFrame) -> DataFrame:
-    """Candidates (a < b): every text of a bucket with its leader, and all pairs of a small bucket."""
-    star = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    few = members.where(f"n > 2 and n <= {SMALL} and id <> leader").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """Candidates (a < b): every text of a bucket with its leaders, and all pairs of a small bucket."""
+    few = members.where(f"n > 2 and n <= {SMALL} and not array_contains(leaders, id)").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    return star.union(few.select(F.inline(F.flatten(pairs)))).distinct()
+    return _stars(members).select("a", "b").union(few.select(F.inline(F.flatten(pairs)))).distinct()
 
 
 def _members(keyed: DataFrame, label: str) -> DataFrame:
-    """keyed (key, id) with the size and the leader of its bucket, where the bucket has two texts or more."""
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("key", "id")).alias("leader")).where("n > 1")
+    """keyed (key, id) with the size and the leaders of its bucket, where the bucket has two texts or more."""
+    leaders = F.array_distinct(F.array(F.min("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, LEADERS))))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), leaders.alias("leaders")).where("n > 1")
     return written(keyed.join(buckets, "key"), label)
 
 
@@ -167,7 +179,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, similarity double"), label)
+    with batch_bytes(sets.sparkSession, SET_BATCH):
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, similarity double"), label)
 
 
 def similar_links(signed: DataFrame, own: DataFrame, steps, threshold: float) -> DataFrame:
@@ -181,13 +194,14 @@ def similar_links(signed: DataFrame, own: DataFrame, steps, threshold: float) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
     involved = members.select("id").distinct()
-    sets = written(own.join(involved, "id").mapInArrow(make_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    with batch_bytes(own.sparkSession, SET_BATCH):
+        sets = written(own.join(involved.hint("merge"), "id").mapInArrow(make_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
     links = _verified(_pairs(members), sets, threshold, "links")
     every = links
     for level in range(1, LEVELS):
-        left = members.where(f"n > {SMALL} and id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")}).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        again = left.select("key", "id", "used").join(signed.select("id", "bands"), "id").select("key", "id", "used", F.posexplode("bands").alias("band", "value"))
-        rekeyed = again.where(~F.array_contains("used", F.col("band"))).select(F.xxhash64("key", "band", "value").alias("key"), "id", F.array_append("used", F.col("band")).alias("used"))
+        large = members.where(f"n > {SMALL}")
+        again = large.select("key", "id", "used").join(signed.select("id", "bands"), "id").select("key", "id", "used", F.posexplode("bands").alias("band", "value"))
+        rekeyed = again.where(F.col("band") > F.element_at("used", -1)).select(F.xxhash64("key", "band", "value").alias("key"), "id", F.array_append("used", F.col("band")).alias("used"))
         members = _members(rekeyed, f"members{level}")
         links = _verified(_pairs(members).join(every.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold, f"links{level}")
         every = every.union(links)

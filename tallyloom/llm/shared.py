@@ -6,6 +6,8 @@ import os
 import sys
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import Broadcast
@@ -60,6 +62,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: str) -> Iterator[None]:
+    """Arrow batches of at most so many bytes, for what is run (not only planned) inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def worker_cache(key: tuple, make):
     """make(), once for each Python worker process and key."""
     store = sys.modules[__name__].__dict__.setdefault("_worker_cache", {})

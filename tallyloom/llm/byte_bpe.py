@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 from tallyloom.llm.shared import parse_ranks, ship, vocabulary, vocabulary_path, worker_cache
 
 #: Resolved pre-tokens that a worker keeps; beyond this the memo starts again.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
+#: Ids that are gathered before a batch of encoded documents goes out.
+BATCH_IDS = 500_000
 
 
 class PerfectHash:
@@ -174,7 +176,7 @@ def codec(raw: bytes) -> ByteBPE:
     """The codec of a rank file's bytes, built once in each Python worker."""
     import public_tokenizers
 
-    return worker_cache(("byte_bpe", len(raw), hash(raw)), lambda: ByteBPE(parse_ranks(raw), public_tokenizers.PATTERN))
+    return worker_cache(("byte_bpe", len(raw), hash(raw)), lambda: ByteBPE(parse_ranks(raw), public_tokenizers.PATTERN), large=True)
 
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -196,9 +198,22 @@ def encode_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(ranks.value)
+
+        def packed(doc_ids: pa.Array, parts: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = np.array([len(p) for p in parts], dtype=np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes), ids], names=ENCODED.names)
+
         for batch in batches:
-            ids = [use.encode(x.as_py() or "") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=ENCODED.names)
+            first, held, parts = 0, 0, []
+            for k, text in enumerate(batch.column(1)):
+                parts.append(np.array(use.encode(text.as_py() or ""), dtype=np.int32))
+                held += len(parts[-1])
+                if held >= BATCH_IDS:
+                    yield packed(batch.column(0).slice(first, len(parts)), parts)
+                    first, held, parts = k + 1, 0, []
+            if parts:
+                yield packed(batch.column(0).slice(first), parts)
 
     return own.mapInArrow(run, ENCODED)
 

@@ -35,7 +35,7 @@ MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: Test texts that are broadcast at once; a larger test set goes in several blocks.
 BLOCK_BYTES = 16 << 20
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 _FILTER_BITS = 22
 
 
@@ -55,7 +55,7 @@ class _PlainHashes(dict):
 def plain_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the plain words of a text, and the place of each among all its words."""
     words = words_of(text)
-    memo = worker_cache(("plain",), _PlainHashes)
+    memo = worker_cache(("plain",), _PlainHashes, large=True)
     h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
     at = np.flatnonzero(h)
     return h[at], at

@@ -29,7 +29,7 @@ STATS = 8
 #: Labelled documents to learn from at most, and passages of one of them: longer texts are not drawn.
 MAX_TRAIN_DOCS = 4_000
 MAX_TRAIN_PASSAGES = 1_000
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 
 
 class _Shapes(dict):
@@ -63,7 +63,7 @@ def passages(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros((1, SHAPES + STATS), dtype=np.float32)
-    codes = np.fromiter(map(worker_cache(("shapes",), _Shapes).__getitem__, words), dtype=np.uint64, count=n)
+    codes = np.fromiter(map(worker_cache(("shapes",), _Shapes, large=True).__getitem__, words), dtype=np.uint64, count=n)
     count = -(-n // PASSAGE_WORDS)
     at = np.arange(n) // PASSAGE_WORDS
     size = np.bincount(at, minlength=count)

@@ -74,9 +74,16 @@ def batch_bytes(spark: SparkSession, most: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def worker_cache(key: tuple, make):
-    """make(), once for each Python worker process and key."""
+def worker_cache(key: tuple, make, large: bool = False):
+    """make(), once for each Python worker process and key. Of large entries a worker keeps the last two that it used, so
+    that the stages of a job that share a worker don't add up."""
     store = sys.modules[__name__].__dict__.setdefault("_worker_cache", {})
+    if large:
+        store = store.setdefault("large", {})
+        if key in store:
+            store[key] = store.pop(key)
+        elif len(store) > 1:
+            del store[next(iter(store))]
     if key not in store:
         store[key] = make()
     return store[key]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tallyloom.llm.shared import worker_cache
+
 MEMO_ENTRIES = 400_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -21,9 +23,6 @@ class _WordHashes(dict):
         return h
 
 
-_memo = _WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text: runs outside ASCII white space, which bytes.split() cuts at."""
     return (text or "").encode("utf-8").split()
@@ -31,7 +30,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64 bits for each word."""
-    return np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(worker_cache(("word hashes",), _WordHashes, large=True).__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ END_ID = 1
 #: Ids of a block that is transposed as a whole, and ids after which a chunk is closed.
 BLOCK_IDS = 8_192
 CHUNK_IDS = 1 << 20
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 800_000
 
 CHUNKS = T.StructType(
     [
@@ -154,7 +154,7 @@ class _WordIds(dict):
 
 
 def _encoder(raw: bytes):
-    words = worker_cache(("word_ids", len(raw), hash(raw)), lambda: _WordIds(raw))
+    words = worker_cache(("word_ids", len(raw), hash(raw)), lambda: _WordIds(raw), large=True)
 
     def encode(text: str) -> np.ndarray:
         return np.fromiter(chain(chain.from_iterable(map(words.__getitem__, text.encode("utf-8").split())), (END_ID,)), dtype="<u4")

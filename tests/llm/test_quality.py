@@ -25,7 +25,9 @@ def test_statistics(spark, odd, labels):
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and (not r.base_failed or not r.kept) for r in rows)
 
 
-def test_rules_separate_and_columns_pass(spark, documents, labels, odd):
+def test_rules_separate_and_columns_pass(spark, odd):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rules = quality_rules.fit(documents, labels)
     assert rules
     kept = {r.doc_id for r in quality_rules.keep_good(documents, labels).collect()}

@@ -63,4 +63,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+OP10_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as k from w, unnest(range(1, len(ws) - 48)) as t(i)),
+least as (select k, min(doc_id) as m from win group by k),
+gone as (select doc_id, list(distinct p) as ps from (select win.doc_id, unnest(range(i, i + 50)) as p from win join least using (k) where m < win.doc_id) group by doc_id),
+kept as (select w.doc_id, ws, case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i)) end as ks from w left join gone using (doc_id))
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - len(ks) as bigint) as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept
+"""
+
+#: The other operators learn, sample, align or merge bytes, which SQL can't state; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}

@@ -90,6 +90,16 @@ def test_substrings(spark, documents, odd):
     assert substring_dedup.query(odd.limit(0)).count() == 0
 
 
+def test_substrings_equal_sql(spark, documents):
+    import duckdb
+
+    from tallyloom.llm.queries import OP10_SQL
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    assert sorted(con.execute(OP10_SQL).fetchall()) == sorted(tuple(r) for r in substring_dedup.query(documents).collect())
+
+
 def test_factors():
     assert substring_dedup.parse([(0, 1), (1, 1), (2, 1), (3, 9), (70, 9)]) == [(0, 52, 1), (3, 50, 9), (70, 50, 9)]
 

@@ -208,6 +208,11 @@ def similar_links(signed: DataFrame, own: DataFrame, steps, threshold: float) ->
     return every
 
 
+def _own_id(id_col: str, text):
+    """The id, or a hash of the text that isn't a small number even for a null text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text, F.lit("no id")))
+
+
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, id (with null ids replaced) and class_id, the least id of the class, for every row of docs.
 
@@ -216,7 +221,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thr
     spark = docs.sparkSession
     ship(spark)
     text = F.col(text_col).cast("string")
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("id"), text.alias("text"))
+    own = docs.select(_own_id(id_col, text).alias("id"), text.alias("text"))
     steps = spark.sparkContext.broadcast(idf_steps(*document_frequencies(own)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thr
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class, that of the least id; its columns as they are."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    key = _own_id(id_col, F.col(text_col).cast("string"))
     kept = classes(docs, text_col, id_col, threshold).where("id = class_id").select(F.col("id").alias("kept_id")).distinct()
     keyed = docs.select(F.struct("*").alias("row"), key.alias("kept_id"))
     return keyed.join(kept, "kept_id", "left_semi").dropDuplicates(["kept_id"]).select("row.*")

@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The three-word runs of each test item are counted over all documents, and the rarer half of each item's runs become
-its seeds: common phrases start no alignment, and an item that has leaked widely still has seeds, since runs are
-compared within their item. Where a document has a seed, the words around it are aligned with the item; the score of
-the best local alignment over that of a perfect copy says how much of the item is there, edits and gaps included.
+The three-word runs of each test item are counted over all documents, and every run that occurs is a seed. Where a
+document has one of the rarer half of an item's occurring runs, the words around it are aligned with the item; where it
+has another one, they are aligned if enough of the item's words are there for the least score. That test drops no
+alignment that could reach the score, so common phrases cost little and an edited copy is found by any run it kept.
+The score of the best local alignment over that of a perfect copy says how much of the item is there, edits and gaps
+included. A copy that has no three words of the item in a row has no seed.
 
 The test set is broadcast in blocks of a bounded size, all documents against each block; documents aren't shuffled.
 
@@ -93,28 +95,29 @@ class Block:
     grams: np.ndarray = field(init=False)
     gram_item: np.ndarray = field(init=False)
     gram_at: np.ndarray = field(init=False)
+    gram_rare: np.ndarray = field(init=False)
 
     def __post_init__(self):
         own = [gram_hashes(h, SEED_WORDS) for _, h in self.items]
         grams = np.concatenate([*own, np.empty(0, dtype=np.uint64)])
         item = np.concatenate([*(np.full(len(g), k) for k, g in enumerate(own)), np.empty(0, dtype=np.int64)]).astype(np.int64)
         at = np.concatenate([*(np.arange(len(g)) for g in own), np.empty(0, dtype=np.int64)]).astype(np.int64)
-        self._set(grams, item, at)
+        self._set(grams, item, at, np.ones(len(grams), dtype=bool))
 
-    def _set(self, grams: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+    def _set(self, grams: np.ndarray, item: np.ndarray, at: np.ndarray, rare: np.ndarray) -> None:
         order = np.lexsort((at, item, grams))
-        self.grams, self.gram_item, self.gram_at = grams[order], item[order], at[order]
+        self.grams, self.gram_item, self.gram_at, self.gram_rare = grams[order], item[order], at[order], rare[order]
         self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.maybe[(self.grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def keep_rare(self, df: dict[int, int]) -> None:
-        """Keep the rarer half of each item's runs, ties by place."""
+    def keep_occurring(self, df: dict[int, int]) -> None:
+        """Keep the runs that a document has, and mark the rarer half of each item's, ties by place."""
         n = np.array([df.get(g, 0) for g in self.grams.view(np.int64).tolist()], dtype=np.int64)
         order = np.lexsort((self.gram_at, n, self.gram_item))
+        order = order[n[order] > 0]
         _, start, size = np.unique(self.gram_item[order], return_index=True, return_counts=True)
         rank = np.arange(len(order)) - np.repeat(start, size)
-        keep = np.sort(order[rank < np.repeat((size + 1) // 2, size)])
-        self._set(self.grams[keep], self.gram_item[keep], self.gram_at[keep])
+        self._set(self.grams[order], self.gram_item[order], self.gram_at[order], rank < np.repeat((size + 1) // 2, size))
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of runs of h that are among the grams, and their places in the sorted grams."""
@@ -126,10 +129,16 @@ class Block:
         real = (k < len(self.grams)) & (self.grams[np.minimum(k, len(self.grams) - 1)] == own[at])
         return at[real], k[real]
 
+    def _reaches(self, item: int, near: list[int], min_score: float) -> bool:
+        """Whether an alignment of an item with these words can reach min_score: each word in common adds MATCH at most."""
+        words = self.items[item][1].tolist()
+        return sum(map(set(near).__contains__, words)) >= min_score * len(words)
+
     def matches(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, word after the last) of the best alignment with each item that reaches min_score."""
         h, place = plain_hashes(text)
         starts, seeds = self.hits(h)
+        plain = h.tolist() if len(starts) else []
         spans: dict[int, list[list[int]]] = {}
         for p, k in zip(starts.tolist(), seeds.tolist(), strict=True):
             gram = self.grams[k]
@@ -138,11 +147,13 @@ class Block:
                 size = len(self.items[item][1])
                 slack = size // 2 + SEED_WORDS
                 a, b = max(0, p - q - slack), min(len(h), p - q + size + slack)
-                own = spans.setdefault(item, [])
-                if own and a <= own[-1][1] and a >= own[-1][0]:
-                    own[-1][1] = max(own[-1][1], b)
-                else:
-                    own.append([a, b])
+                own = spans.get(item, [])
+                if self.gram_rare[k] or self._reaches(item, plain[a:b], min_score):
+                    own = spans.setdefault(item, own)
+                    if own and a <= own[-1][1] and a >= own[-1][0]:
+                        own[-1][1] = max(own[-1][1], b)
+                    else:
+                        own.append([a, b])
                 k += 1
         found = []
         for item, own in spans.items():
@@ -165,7 +176,7 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str) -> Iterator[Block]
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, bench_text_col: str, bench_id_col: str) -> list[Broadcast[Block]]:
-    """The blocks with the seeds that are rare over all of docs; one scan of the texts for each block."""
+    """The blocks with the seeds that occur in docs; one scan of the texts for each block."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -182,7 +193,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, bench_text_co
             yield pa.RecordBatch.from_arrays([pa.array(sent.value.grams[at].view(np.int64)), pa.array(n[at])], names=["gram", "n"])
 
         counts = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect() if len(block.grams) else []
-        block.keep_rare({r["gram"]: r["n"] for r in counts})
+        block.keep_occurring({r["gram"]: r["n"] for r in counts})
         out.append(spark.sparkContext.broadcast(block))
     return out
 

@@ -136,6 +136,20 @@ def test_leaks(spark, documents, benchmark):
     assert decontaminate.query(docs, bench.limit(0)).count() == 0 and decontaminate.query(docs.limit(0), bench).count() == 0
 
 
+def test_edited_leaks(spark):
+    item = [f"w{j}" for j in range(20)]
+    copies = {n: [f"new{n}" if j % n == n - 1 else x for j, x in enumerate(item)] for n in (4, 5, 6)}
+    pad = [f"pad{j}" for j in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    frame = lambda rows: spark.createDataFrame([(i, " ".join(pad + w + pad)) for i, w in rows], "doc_id long, text string")
+    for n, copy in copies.items():
+        assert [(r.doc_id, r.item_id) for r in decontaminate.query(frame([(n, copy), (99, [])]), bench).collect()] == [(n, 1)]
+    # whole copies elsewhere make the surviving runs the commoner ones; a phrase alone is no leak
+    rows = [*copies.items(), (0, item), *((100 + k, item[:3]) for k in range(8))]
+    assert {r.doc_id for r in decontaminate.query(frame(rows), bench).collect()} == {0, 4, 5, 6}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame(rows), bench).collect()} == {100 + k for k in range(8)}
+
+
 def test_pipeline(spark, documents, odd):
     docs, counts = documents, []
     for name, stage in corpus_pipeline.STAGES[:-1]:

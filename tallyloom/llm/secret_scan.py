@@ -3,7 +3,9 @@
 Assignments of secrets, access keys and long hexadecimal strings are found by pattern. Beside them, every run of
 20 or more key characters is encoded under a tiktoken vocabulary: natural words and identifiers take few tokens, a
 random string takes one token for about every one or two characters. Runs with a low characters-per-token ratio are
-reported as kind `random`, unless they are digests or identifiers of a known form.
+reported as kind `random`, unless they are digests or identifiers of a known form. Where words joined by / _ - = hide a
+random string in a longer run, the ratio is taken over its parts, and the random ones are reported. A run in one letter
+case without digits has to be without separators and under a stricter ratio.
 
 Defined results: a null text counts as an empty one; null ids pass through; repeated rows each get their own result;
 spans are in code points, end exclusive; other columns are neither read nor returned by `secret_spans`, and
@@ -30,6 +32,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+#: Of max_ratio, for runs that look like words; random letters of one case are under it in about nine of ten cases.
+STRICT = 0.95
+#: Words of a path or a name up to this length don't end a random string that separators cut.
+SHORT = 5
+#: Known identifiers between separators, and all other parts of a run.
+PART = re.compile(
+    r"(?<![A-Za-z0-9+])(?P<known>[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:1|224|256|384|512)[-_][A-Za-z0-9+/]{27,86}={0,2})(?![A-Za-z0-9+])"
+    r"|[A-Za-z0-9+]+"
+)
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
@@ -53,7 +66,7 @@ SCHEMA = T.StructType(
 
 def is_known(run: str) -> bool:
     """Whether a run is a digest or an identifier of a known form."""
-    return (len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", run) is not None) or KNOWN.fullmatch(run) is not None
+    return (len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", run) is not None) or KNOWN.fullmatch(run) is not None or run.lower() in _ALPHABET
 
 
 def looks_keyed(run: str) -> bool:
@@ -61,15 +74,48 @@ def looks_keyed(run: str) -> bool:
     return (re.search(r"[0-9]", run) is not None and re.search(r"[A-Za-z]", run) is not None) or re.search(r"[a-z][A-Z].*[a-z][A-Z]", run) is not None
 
 
+def is_random(run: str, count_tokens: Callable[[str], int], max_ratio: float) -> bool:
+    """Whether a run has few characters per token and is no known identifier."""
+    keyed = looks_keyed(run)
+    if len(run) < LEAST or is_known(run) or not keyed and re.search("[/_=-]", run):
+        return False
+    return len(run) < (max_ratio if keyed else STRICT * max_ratio) * count_tokens(run)
+
+
+def random_spans(run: str, count_tokens: Callable[[str], int], max_ratio: float) -> list[tuple[int, int]]:
+    """The whole run if it is random, else its random parts: neighbours without a longer word between them, or single ones."""
+    if is_random(run, count_tokens, max_ratio):
+        return [(0, len(run))]
+    if is_known(run):
+        return []
+    groups: list[list[tuple[int, int]]] = [[]]
+    for m in PART.finditer(run):
+        odd = m["known"] is None and not (len(m[0]) >= LEAST and is_known(m[0])) and len(m[0]) < max_ratio * count_tokens(m[0])
+        if odd or m["known"] is None and len(m[0]) <= SHORT and groups[-1]:
+            groups[-1].append((m.start(), m.end() if odd else -1))
+        else:
+            groups.append([])
+    found = []
+    for group in groups:
+        while group and group[-1][1] < 0:
+            group.pop()
+        if not group:
+            continue
+        a, b = group[0][0], group[-1][1]
+        if is_random(run[a:b], count_tokens, max_ratio):
+            found.append((a, b))
+        else:
+            found += [(x, y) for x, y in group if is_random(run[x:y], count_tokens, max_ratio)]
+    return found
+
+
 def find_spans(text: str, count_tokens: Callable[[str], int], max_ratio: float) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans by start, then kind as in KINDS."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
-        run = m[0]
-        if looks_keyed(run) and not is_known(run) and len(run) < max_ratio * count_tokens(run):
-            found.append((m.start(), 3, m.end()))
+        found += [(m.start() + a, 3, m.start() + b) for a, b in random_spans(m[0], count_tokens, max_ratio)]
     return [(a, b, KINDS[k]) for a, k, b in sorted(found)]
 
 

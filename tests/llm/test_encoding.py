@@ -104,6 +104,20 @@ def test_redaction_leaves_other_rows(spark, odd):
     assert Counter(r.text for r in after if r.doc_id != 907) == Counter(r.text for r in before if r.doc_id != 907)
 
 
+def test_random_parts_of_runs():
+    from pathlib import Path
+
+    count = secret_scan._token_counter(Path(secret_scan.vocabulary_path("byte_bpe_50k.tiktoken")).read_bytes())
+    spans = lambda t: [(a, b) for a, b, kind in secret_scan.find_spans(t, count, 2.0) if kind == "random"]
+    key, low = "q8Zr3Lx9Vt2Kw7Yp4Nd6Hb1J", "xqzkvjwpghtrmnbdflcsqxzv"
+    for before in ("", "/production/backups/customers/reports/", "https-callback-authorization-session-", "/production/backups/customers/reports/archive/monthly/europe/"):
+        for secret in (key, low, low.upper(), key[:12] + "_" + key[12:]):
+            assert [b for a, b in spans(before + secret) if a <= len(before)] == [len(before) + len(secret)], (before, secret)
+    assert spans("/production/backups/customers/reports/" + low) == [(38, 62)]
+    for text in ("/users/123e4567-e89b-12d3-a456-426614174000/profile/settings", "xxhash-zstd-lz-snappy-brotli", "Donaudampfschifffahrtsgesellschaft", "abcdefghijklmnopqrstuvwxyz", "/assets/images/2024/01/15/header-background-large"):
+        assert spans(text) == [], text
+
+
 def test_known_forms_are_no_secrets():
     n = lambda s: len(LIBRARY.encode_ordinary(s))
     for run in ("d41d8cd98f00b204e9800998ecf8427e", "D41D8CD98F00B204E9800998ECF8427E", "123e4567-e89b-12d3-a456-426614174000", "sha256-47DEQpj8HBSaTImW5JCeuQeRkm5NMpJWZG3hSuFU", "get_user_name_from_request_context_v2", "2024-01-01-2024-12-31-0001"):

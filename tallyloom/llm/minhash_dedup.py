@@ -7,9 +7,9 @@ between two texts with a probability of their weighted Jaccard similarity; bands
 every candidate is verified on the whole weighted sets.
 
 Equal word sequences are one text from the start. In a bucket of up to SMALL texts all pairs are candidates; in a larger
-one every text is compared with a few leaders of the bucket, and the whole bucket is dealt again by a second and a third
-band, so that texts that only share a passage part while similar ones stay together. Leaders are those of the least ids
-and hashes, the same in every band that they are in, so a large group makes few candidates.
+one every text is compared with a few leaders of the bucket, those of the least ids and hashes, the same in every band
+that they are in, so a large group makes few candidates. The texts of larger buckets are then joined exactly: those that
+aren't in one class yet and share an element of the prefixes of their weighted sets are candidates too.
 
 Defined results: a text of one to four words is one shingle, texts without words are equal to each other; a null text
 has no words; a null id is replaced by a hash of the text; rows that share an id are one class; other columns pass
@@ -39,7 +39,6 @@ DF_BITS, STEPS = 17, 16
 SMALL = 8
 #: Leaders of a larger bucket: the text of the least id, and those of the least hashes of it.
 LEADERS = 3
-LEVELS = 3
 _POOL = 1 << 16
 #: Bytes of weighted sets that go to a Python worker at once.
 SET_BATCH = "8m"
@@ -183,9 +182,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, similarity double"), label)
 
 
+def prefix(e: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
+    """The heaviest elements of a weighted set, up to where the others weigh less than threshold of all, and the weight of
+    all. Two sets of that similarity share an element of their prefixes, as elements have one order in all sets."""
+    step = (e & np.uint64(STEPS - 1)).astype(np.int64)
+    own = e[np.lexsort((e, -step))]
+    w = weight(own)
+    total = float(w.sum())
+    return own[: int((total - np.cumsum(w) >= threshold * total * (1 - 1e-9)).sum()) + 1], total
+
+
+def _prefix_links(ids: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All verified links between texts of ids that links don't put into one class already."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [prefix(np.frombuffer(x.as_py(), dtype=np.uint64), threshold) for x in batch.column(1)]
+            elements = pa.array([e.view(np.int64) for e, _ in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), elements, pa.array([w for _, w in rows], pa.float64())], names=["id", "prefix", "w"])
+
+    own = sets.join(ids.distinct(), "id").mapInArrow(prefixes, "id long, prefix array<long>, w double")
+    named = components(links.select("a", "b")).select(F.col("node").alias("id"), "component")
+    rows = written(own.join(named, "id", "left").select("id", "w", F.coalesce("component", "id").alias("c"), F.explode("prefix").alias("e")), "prefixes")
+    mixed_up = rows.groupBy("e").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("e")
+    left = rows.join(mixed_up, "e", "left_semi")
+    right = left.select("e", F.col("id").alias("b"), F.col("c").alias("d"), F.col("w").alias("v"))
+    near = F.least("w", "v") >= threshold * (1 - 1e-9) * F.greatest("w", "v")
+    pairs = left.join(right, "e").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & near).select(F.col("id").alias("a"), "b").distinct()
+    return _verified(pairs, sets, threshold, "prefix-links")
+
+
 def similar_links(signed: DataFrame, own: DataFrame, steps, threshold: float) -> DataFrame:
     """Verified links (a, b, similarity) between texts; signed has one row (id, bands) for each."""
-    keyed = signed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", F.array("band").alias("used"))
+    keyed = signed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id")
     members = _members(keyed, "members")
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +226,8 @@ def similar_links(signed: DataFrame, own: DataFrame, steps, threshold: float) ->
     with batch_bytes(own.sparkSession, SET_BATCH):
         sets = written(own.join(involved.hint("merge"), "id").mapInArrow(make_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
     links = _verified(_pairs(members), sets, threshold, "links")
-    every = links
-    for level in range(1, LEVELS):
-        large = members.where(f"n > {SMALL}")
-        again = large.select("key", "id", "used").join(signed.select("id", "bands"), "id").select("key", "id", "used", F.posexplode("bands").alias("band", "value"))
-        rekeyed = again.where(F.col("band") > F.element_at("used", -1)).select(F.xxhash64("key", "band", "value").alias("key"), "id", F.array_append("used", F.col("band")).alias("used"))
-        members = _members(rekeyed, f"members{level}")
-        links = _verified(_pairs(members).join(every.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold, f"links{level}")
-        every = every.union(links)
-    return every
+    large = members.where(f"n > {SMALL}").select("id")
+    return links.union(_prefix_links(large, links, sets, threshold))
 
 
 def _own_id(id_col: str, text):

@@ -79,6 +79,28 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert minhash_dedup.query(odd.limit(0)).count() == 0
 
 
+def test_large_buckets_without_a_band_left(spark):
+    texts = {}
+    for k in range(20):
+        words = [f"w{k}x{j}" for j in range(60)]
+        texts[k], texts[100 + k] = " ".join(words), " ".join([*words, f"end{k}"])
+    own = spark.createDataFrame(list(texts.items()), "id long, text string")
+    signed = spark.createDataFrame([(i, [1] * minhash_dedup.BANDS) for i in texts], "id long, bands array<long>")
+    steps = spark.sparkContext.broadcast(np.full(1 << minhash_dedup.DF_BITS, 9, dtype=np.uint8))
+    links = minhash_dedup.similar_links(signed, own, steps, minhash_dedup.THRESHOLD).collect()
+    assert {(r.a, r.b) for r in links} == {(k, 100 + k) for k in range(20)}
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(2)
+    steps = r.integers(0, minhash_dedup.STEPS, 1 << minhash_dedup.DF_BITS).astype(np.uint8)
+    for n in range(1, 60):
+        words = r.integers(0, 1 << 63, n + 9, dtype=np.uint64)
+        x, y = (minhash_dedup.elements(np.where(r.random(n + 9) < 0.01, r.integers(0, 1 << 63, n + 9, dtype=np.uint64), words), steps) for _ in range(2))
+        s = minhash_dedup.weighted_jaccard(x, y)
+        assert s == 0 or len(np.intersect1d(minhash_dedup.prefix(x, s)[0], minhash_dedup.prefix(y, s)[0])), n
+
+
 def test_substrings(spark, documents, odd):
     base = [(r.doc_id, r.text) for r in documents.orderBy("doc_id").limit(50).collect()]
     passage = " ".join(base[7][1].split()[:80])

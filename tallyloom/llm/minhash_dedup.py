@@ -2,18 +2,20 @@
 
 A text is a multiset of five-word shingles; a shingle weighs its term frequency times a smoothed inverse document
 frequency between 1 and 2. Document frequencies are counted over all documents, in hashed buckets of a fixed number,
-so that the table that every task needs has a fixed size. Consistent weighted samples of the weighted set agree
-between two texts with a probability of their weighted Jaccard similarity; bands of four samples give candidates, and
-every candidate is verified on the whole weighted sets.
+so that the table that every task needs has a fixed size; what chance alone puts into a bucket, the median, is taken off,
+so that ordinary shingles stay rare and common ones common however many documents there are. Consistent weighted samples
+of the weighted set agree between two texts with a probability of their weighted Jaccard similarity; bands of four
+samples give buckets of texts, and every link is verified on the whole weighted sets.
 
-Equal word sequences are one text from the start. In a bucket of up to SMALL texts all pairs are candidates; in a larger
-one every text is compared with a few leaders of the bucket, those of the least ids and hashes, the same in every band
-that they are in, so a large group makes few candidates. The texts of larger buckets are then joined exactly: those that
-aren't in one class yet and share an element of the prefixes of their weighted sets are candidates too.
+Equal word sequences are one text from the start. Every text of a bucket is first compared with the bucket's centre, the
+text that meets most others over all bands, so that a large group makes one candidate for each of its texts. Where the
+texts of a bucket aren't in one class after that, they are joined exactly: two sets of the threshold's similarity have
+their first common element, in one order of all elements, where the weight that both have left is still enough for it. Texts
+of different classes that share such an element are candidates too, so no pair of a bucket is left undecided.
 
 Defined results: a text of one to four words is one shingle, texts without words are equal to each other; a null text
-has no words; a null id is replaced by a hash of the text; rows that share an id are one class; other columns pass
-through `keep_one`.
+has no words; a null id is replaced by a hash of the text; rows that share an id are one class, whatever their texts;
+of rows that share the least id of a class `keep_one` keeps the one of the least hash; other columns pass through it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import batch_bytes, ship, worker_cache
+from tallyloom.llm.shared import batch_bytes, narrowed, ship, worker_cache
 from tallyloom.llm.shingles import gram_hashes, mixed, sequence_key, word_hashes, words_of
 from tallyloom.operators.components import components
 from tallyloom.session import written
@@ -35,16 +37,12 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Buckets of document frequencies, and steps of weight: an element's low four bits hold its step.
 DF_BITS, STEPS = 17, 16
-#: Texts of a bucket up to which all its pairs are candidates.
-SMALL = 8
-#: Leaders of a larger bucket: the text of the least id, and those of the least hashes of it.
-LEADERS = 3
 _POOL = 1 << 16
 #: Bytes of weighted sets that go to a Python worker at once.
 SET_BATCH = "8m"
 
-SIGNED = "id long, seq_a long, seq_b long, bands array<long>"
-SIGNED_ARROW = pa.schema([("id", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SIGNED = "id long, text_key long, seq_a long, seq_b long, bands array<long>"
+SIGNED_ARROW = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
@@ -78,8 +76,9 @@ def weighted_jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def idf_steps(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """The step of weight of each bucket: 0 where all documents have it, STEPS - 1 where one has it or none."""
-    scale = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / np.log(1 + max(1, n_docs))
+    """The step of weight of each bucket: 0 where all documents have it, STEPS - 1 where it has no more than most buckets."""
+    own = np.clip(df - np.median(df), 0, n_docs)
+    scale = np.log((1 + n_docs) / (1 + own)) / np.log(1 + max(1, n_docs))
     return np.clip(np.rint(scale * (STEPS - 1)), 0, STEPS - 1).astype(np.uint8)
 
 
@@ -139,24 +138,18 @@ def document_frequencies(own: DataFrame) -> tuple[np.ndarray, int]:
     return df, n_docs
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(key, id, a, b): every text of a bucket with each of its leaders, a < b."""
-    led = members.select("key", "id", F.explode("leaders").alias("leader")).where("id <> leader")
-    return led.select("key", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-
-
-def _pairs(members: DataFrame) -> DataFrame:
-    """Candidates (a < b): every text of a bucket with its leaders, and all pairs of a small bucket."""
-    few = members.where(f"n > 2 and n <= {SMALL} and not array_contains(leaders, id)").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pairs = F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    return _stars(members).select("a", "b").union(few.select(F.inline(F.flatten(pairs)))).distinct()
+def _members(keyed: DataFrame) -> DataFrame:
+    """keyed (key, node) with the size n of its bucket, where the bucket has two texts or more."""
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return written(keyed.join(many, "key"), "members")
 
 
-def _members(keyed: DataFrame, label: str) -> DataFrame:
-    """keyed (key, id) with the size and the leaders of its bucket, where the bucket has two texts or more."""
-    leaders = F.array_distinct(F.array(F.min("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, LEADERS))))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), leaders.alias("leaders")).where("n > 1")
-    return written(keyed.join(buckets, "key"), label)
+def _stars(members: DataFrame) -> DataFrame:
+    """Candidates (a < b): every text of a bucket with the bucket's centre."""
+    mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
+    centres = members.join(mass, "node").groupBy("key").agg(F.max_by("node", F.struct("mass", F.bitwise_not("node"))).alias("centre"))
+    led = members.join(centres, "key").where("node <> centre")
+    return led.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -> DataFrame:
@@ -176,58 +169,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     with batch_bytes(sets.sparkSession, SET_BATCH):
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, similarity double"), label)
 
 
-def prefix(e: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
-    """The heaviest elements of a weighted set, up to where the others weigh less than threshold of all, and the weight of
-    all. Two sets of that similarity share an element of their prefixes, as elements have one order in all sets."""
+def prefix(e: np.ndarray, threshold: float, lightest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The elements, heaviest first, at which the first common one with a similar set can be, and the weight of the set
+    from each on. A partner weighs `lightest` at least. All sets have their elements in one order."""
     step = (e & np.uint64(STEPS - 1)).astype(np.int64)
     own = e[np.lexsort((e, -step))]
     w = weight(own)
     total = float(w.sum())
-    return own[: int((total - np.cumsum(w) >= threshold * total * (1 - 1e-9)).sum()) + 1], total
+    left = total - np.cumsum(w) + w
+    n = int((left >= common_weight(total, max(lightest, threshold * total), threshold)).sum())
+    return own[:n], left[:n]
+
 
+def common_weight(w, v, threshold: float):
+    """What two sets of weights w and v have in common at least, if their similarity reaches threshold."""
+    return (w + v) * (threshold / (1 + threshold) * (1 - 1e-9))
 
-def _prefix_links(ids: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """All verified links between texts of ids that links don't put into one class already."""
+
+def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All verified links between texts of one bucket that `links` don't put into one class already."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [prefix(np.frombuffer(x.as_py(), dtype=np.uint64), threshold) for x in batch.column(1)]
-            elements = pa.array([e.view(np.int64) for e, _ in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), elements, pa.array([w for _, w in rows], pa.float64())], names=["id", "prefix", "w"])
-
-    own = sets.join(ids.distinct(), "id").mapInArrow(prefixes, "id long, prefix array<long>, w double")
-    named = components(links.select("a", "b")).select(F.col("node").alias("id"), "component")
-    rows = written(own.join(named, "id", "left").select("id", "w", F.coalesce("component", "id").alias("c"), F.explode("prefix").alias("e")), "prefixes")
-    mixed_up = rows.groupBy("e").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("e")
-    left = rows.join(mixed_up, "e", "left_semi")
-    right = left.select("e", F.col("id").alias("b"), F.col("c").alias("d"), F.col("w").alias("v"))
-    near = F.least("w", "v") >= threshold * (1 - 1e-9) * F.greatest("w", "v")
-    pairs = left.join(right, "e").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & near).select(F.col("id").alias("a"), "b").distinct()
-    return _verified(pairs, sets, threshold, "prefix-links")
-
-
-def similar_links(signed: DataFrame, own: DataFrame, steps, threshold: float) -> DataFrame:
-    """Verified links (a, b, similarity) between texts; signed has one row (id, bands) for each."""
-    keyed = signed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id")
-    members = _members(keyed, "members")
+            rows = [prefix(np.frombuffer(x.as_py(), dtype=np.uint64), threshold, v.as_py()) for x, v in zip(batch.column(3), batch.column(4), strict=True)]
+            e = pa.array([r[0].view(np.int64) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], e, pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["node", "c", "w", "e", "rest"])
+
+    named = components(links.select("a", "b"))
+    placed = written(members.where("n > 2").select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")).join(sets.select("node", "w"), "node"), "placed")
+    undecided = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("w").alias("lightest")).where("x <> y").select("key", "lightest")
+    texts = placed.join(undecided, "key").groupBy("node", "c", "w").agg(F.min("lightest").alias("lightest"))
+    with batch_bytes(sets.sparkSession, SET_BATCH):
+        chosen = texts.join(sets.select("node", "set"), "node").select("node", "c", "w", "set", "lightest")
+        own = written(chosen.mapInArrow(prefixes, "node long, c long, w double, e array<long>, rest array<double>"), "prefixes")
+    rows = own.select("node", "c", "w", F.explode(F.arrays_zip("e", "rest")).alias("z")).select("node", "c", "w", "z.e", "z.rest")
+    met = lambda of: of.groupBy("e").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("w").alias("v")).where("x <> y").select("e", "v")
+    open_rows = written(rows.join(met(rows), "e").where(F.col("rest") >= common_weight(F.col("w"), F.col("v"), threshold)).drop("v"), "open")
+    left = open_rows.join(met(open_rows).select("e"), "e", "left_semi")
+    right = left.select("e", *(F.col(x).alias(y) for x, y in (("node", "b"), ("c", "d"), ("w", "v"), ("rest", "over"))))
+    enough = F.least("rest", "over") >= common_weight(F.col("w"), F.col("v"), threshold)
+    pairs = left.join(right, "e").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("d")) & enough).select(F.col("node").alias("a"), "b").distinct()
+    return _verified(pairs, sets, threshold, "remaining-links")
+
+
+def similar_links(texts: DataFrame, own: DataFrame, steps, threshold: float) -> DataFrame:
+    """Verified links (a, b, similarity) between nodes; texts has one row (node, id, text_key, bands) for each text, and own
+    the texts by (id, text_key)."""
+    keyed = texts.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node")
+    members = _members(keyed)
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [elements(word_hashes(words_of(t.as_py())), steps.value).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets = [elements(word_hashes(words_of(t.as_py())), steps.value) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([float(weight(e).sum()) for e in sets], pa.float64()), pa.array([e.tobytes() for e in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "w", "set"])
 
-    involved = members.select("id").distinct()
+    key = ["id", "text_key"]
+    involved = written(texts.select("node", *key).join(members.select("node").distinct(), "node", "left_semi"), "involved")
+    found = narrowed(own, involved, key).join(involved, key).dropDuplicates(["node"]).select("node", "text")
     with batch_bytes(own.sparkSession, SET_BATCH):
-        sets = written(own.join(involved.hint("merge"), "id").mapInArrow(make_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
-    links = _verified(_pairs(members), sets, threshold, "links")
-    large = members.where(f"n > {SMALL}").select("id")
-    return links.union(_prefix_links(large, links, sets, threshold))
+        sets = written(found.mapInArrow(make_sets, "node long, w double, set binary"), "sets")
+    links = _verified(_stars(members), sets, threshold, "links")
+    return links.union(_remaining_links(members, links, sets, threshold))
 
 
 def _own_id(id_col: str, text):
@@ -236,43 +245,59 @@ def _own_id(id_col: str, text):
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, id (with null ids replaced) and class_id, the least id of the class, for every row of docs.
+    """id (null ids replaced) and class_id, the least id of the class, for every row of docs.
 
-    Two scans of the texts (frequencies, samples); the text of documents that share a bucket is shuffled once.
+    Two scans of the texts (frequencies, samples) and a third that shuffles those that share a bucket: a filter of a
+    fixed size keeps the others out, as far as its buckets go round.
     """
     spark = docs.sparkSession
     ship(spark)
     text = F.col(text_col).cast("string")
-    own = docs.select(_own_id(id_col, text).alias("id"), text.alias("text"))
+    own = docs.select(_own_id(id_col, text).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     steps = spark.sparkContext.broadcast(idf_steps(*document_frequencies(own)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler()
         for batch in batches:
             rows = []
-            for i, t in zip(*batch.columns, strict=True):
+            for i, k, t in zip(*batch.columns, strict=True):
                 h = word_hashes(words_of(t.as_py()))
-                rows.append((i.as_py(), *sequence_key(h), sampler.bands(elements(h, steps.value))))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
+                rows.append((i.as_py(), k.as_py(), *sequence_key(h), sampler.bands(elements(h, steps.value))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SIGNED_ARROW, strict=True)], schema=SIGNED_ARROW)
 
     seq = ["seq_a", "seq_b"]
     all_signed = written(own.mapInArrow(sign, SIGNED), "signed")
-    reps = written(all_signed.groupBy(*seq).agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("rep")), "reps")
-    links = similar_links(reps.select(F.col("rep").alias("id"), "bands"), own, steps, threshold)
-    same_id = all_signed.join(reps.select(*seq, "rep"), seq).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    several = all_signed.groupBy("id").agg(F.min("seq_a").alias("x"), F.max("seq_a").alias("y")).where("x <> y").select(F.col("id").alias("a"))
-    joined = components(links.select("a", "b").union(same_id.join(several, "a", "left_semi")))
-    named = reps.select(*seq, "rep").join(joined, F.col("rep") == F.col("node"), "left").select(*seq, F.coalesce("component", "rep").alias("class_id"))
-    return all_signed.join(named, seq).select("id", "class_id")
+    least = F.min_by(F.struct("id", "text_key", "bands"), F.struct("id", "text_key"))
+    several = written(all_signed.groupBy("id").agg(F.min("seq_a").alias("x"), F.max("seq_a").alias("y")).where("x <> y").select("id"), "shared-ids")
+    # A text is named by its least id, or by its hash where other texts have that id too.
+    name = F.when(F.col("other").isNull(), F.col("id")).otherwise(F.xxhash64(*seq, F.lit("text")))
+    reps = all_signed.groupBy(*seq).agg(least.alias("r")).select(*seq, "r.*").join(several.withColumn("other", F.lit(1)), "id", "left")
+    reps = written(reps.select(name.alias("node"), *seq, "id", "text_key", "bands"), "reps")
+    links = similar_links(reps, own, steps, threshold).select("a", "b")
+    named = all_signed.join(several, "id", "left_semi").join(reps.select(*seq, "node"), seq).select("id", "node").distinct()
+    same_id = named.join(named.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b")
+    joined = components(links.union(same_id))
+    first = joined.join(reps.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id"))
+    of_node = joined.join(first, "component").select("node", "class_id")
+    of_text = reps.select("node", *seq, "id").join(of_node, "node", "left").select(*seq, F.coalesce("class_id", "id").alias("class_id"))
+    return all_signed.select("id", *seq).join(of_text, seq).select("id", "class_id")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class, that of the least id; its columns as they are."""
-    key = _own_id(id_col, F.col(text_col).cast("string"))
-    kept = classes(docs, text_col, id_col, threshold).where("id = class_id").select(F.col("id").alias("kept_id")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"), key.alias("kept_id"))
-    return keyed.join(kept, "kept_id", "left_semi").dropDuplicates(["kept_id"]).select("row.*")
+    """docs with one row of each class, that of the least id; its columns as they are.
+
+    Only rows that may go are shuffled: those whose id is in a bucket, of a fixed number, with an id that goes or that
+    several rows have.
+    """
+    found = classes(docs, text_col, id_col, threshold)
+    marked = written(found.groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("id <> class_id or n > 1"), "marked")
+    keyed = docs.select(F.struct("*").alias("row"), _own_id(id_col, F.col(text_col).cast("string")).alias("id"))
+    others = narrowed(keyed, marked, ["id"], keep=False).select("row")
+    asked = narrowed(keyed, marked, ["id"]).join(marked, "id", "left")
+    single = asked.where("class_id is null").select("row")
+    shared = asked.where("id = class_id").groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return others.union(single).union(shared).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -12,12 +12,16 @@ from pathlib import Path
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are the maximal runs of characters outside this class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: A vocabulary file is broadcast; one above this size is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
+#: Buckets of a filter of keys, the most rows that it broadcasts.
+FILTER_BUCKETS = 1 << 20
+
 _shipped: set[str] = set()
 
 
@@ -62,6 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narrowed(rows: DataFrame, keys: DataFrame, on: list[str], keep: bool = True) -> DataFrame:
+    """Rows whose key may be among keys (or, without keep, surely isn't), by hash buckets of a fixed number, which are
+    broadcast. A filter before a shuffle: it lets more pass the more keys there are, and never loses one."""
+    bucket = F.pmod(F.xxhash64(*on), F.lit(FILTER_BUCKETS)).cast("int").alias("key_bucket")
+    few = keys.select(bucket).distinct()
+    return rows.select("*", bucket).join(F.broadcast(few), "key_bucket", "left_semi" if keep else "left_anti").select(*rows.columns)
+
+
 @contextmanager
 def batch_bytes(spark: SparkSession, most: str) -> Iterator[None]:
     """Arrow batches of at most so many bytes, for what is run (not only planned) inside."""

@@ -49,7 +49,10 @@ def test_near_duplicates(spark, documents):
             w[j] = "changed"
         edited.append((1000 + i, " ".join(w)))
     group = [(2000 + k, base[30][1] + f" tail{k}") for k in range(40)]
-    rows = base + edited + group + [(3000, ""), (3001, None), (3002, "two words"), (3003, "two  words")]
+    r = np.random.default_rng(8)
+    words = [f"w{j}" for j in range(150)]
+    around = [(4000 + k, " ".join(np.where(r.random(150) < (k % 7) / 90, f"own{k // 3}", words))) for k in range(90)]
+    rows = base + edited + group + around + [(3000, ""), (3001, None), (3002, "two words"), (3003, "two  words")]
     got = {r.doc_id: r.class_id for r in minhash_dedup.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
 
@@ -84,8 +87,8 @@ def test_large_buckets_without_a_band_left(spark):
     for k in range(20):
         words = [f"w{k}x{j}" for j in range(60)]
         texts[k], texts[100 + k] = " ".join(words), " ".join([*words, f"end{k}"])
-    own = spark.createDataFrame(list(texts.items()), "id long, text string")
-    signed = spark.createDataFrame([(i, [1] * minhash_dedup.BANDS) for i in texts], "id long, bands array<long>")
+    own = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id long, text_key long, text string")
+    signed = spark.createDataFrame([(i, i, i, [1] * minhash_dedup.BANDS) for i in texts], "node long, id long, text_key long, bands array<long>")
     steps = spark.sparkContext.broadcast(np.full(1 << minhash_dedup.DF_BITS, 9, dtype=np.uint8))
     links = minhash_dedup.similar_links(signed, own, steps, minhash_dedup.THRESHOLD).collect()
     assert {(r.a, r.b) for r in links} == {(k, 100 + k) for k in range(20)}
@@ -98,7 +101,28 @@ def test_prefixes_of_similar_sets_meet():
         words = r.integers(0, 1 << 63, n + 9, dtype=np.uint64)
         x, y = (minhash_dedup.elements(np.where(r.random(n + 9) < 0.01, r.integers(0, 1 << 63, n + 9, dtype=np.uint64), words), steps) for _ in range(2))
         s = minhash_dedup.weighted_jaccard(x, y)
-        assert s == 0 or len(np.intersect1d(minhash_dedup.prefix(x, s)[0], minhash_dedup.prefix(y, s)[0])), n
+        (a, left), (b, over) = minhash_dedup.prefix(x, s), minhash_dedup.prefix(y, s)
+        both, i, j = np.intersect1d(a, b, return_indices=True)
+        least = minhash_dedup.common_weight(minhash_dedup.weight(x).sum(), minhash_dedup.weight(y).sum(), s)
+        assert s == 0 or (np.minimum(left[i], over[j]) >= least).any(), n
+
+
+def test_ids_of_several_texts(spark, documents):
+    a, b, c = (r.text for r in documents.orderBy("doc_id").limit(3).collect())
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (4, c), (5, c + " end"), (6, "alone")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, class_id int")
+    got = [(r.doc_id, r.class_id) for r in minhash_dedup.query(docs).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6)]
+    kept = [minhash_dedup.keep_one(docs.repartition(n)).collect() for n in (1, 4)]
+    assert sorted(kept[0]) == sorted(kept[1]) and sorted(r.doc_id for r in kept[0]) == [1, 4, 6]
+
+
+def test_weights_tell_common_shingles_at_any_size():
+    for n_docs, noise in ((1_000, 0), (10**6, 5_000), (10**10, 76_000_000)):
+        df = np.random.default_rng(1).poisson(noise, 1 << minhash_dedup.DF_BITS)
+        df[:50] += n_docs // 10
+        steps = minhash_dedup.idf_steps(df, n_docs)
+        assert steps[:50].max() <= 5 and np.median(steps[50:]) >= 8
 
 
 def test_substrings(spark, documents, odd):

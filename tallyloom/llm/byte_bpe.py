@@ -134,14 +134,27 @@ class _Memo(dict):
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        raw = token.encode("utf-8")
-        found = self.codec.whole.get(raw)
-        ids = (self.codec.order[found],) if found is not None else tuple(merge_bytes(raw, self.codec.ranks))
+        ids = self.codec.resolve(token.encode("utf-8"))
         if len(token) <= 256:
             self[token] = ids
         return ids
 
 
+class _Counts(dict):
+    """Pre-token to the number of its ids; a miss goes through both tiers."""
+
+    def __init__(self, codec: ByteBPE):
+        self.codec = codec
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        n = len(self.codec.resolve(token.encode("utf-8")))
+        if len(token) <= 256:
+            self[token] = n
+        return n
+
+
 class ByteBPE:
     """A codec over the ranks of a .tiktoken file."""
 
@@ -157,13 +170,18 @@ class ByteBPE:
             self.bytes_of[rank] = key
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.find = regex.compile(pattern).findall
-        self.memo = _Memo(self)
+        self.memo, self.counts = _Memo(self), _Counts(self)
+
+    def resolve(self, raw: bytes) -> tuple[int, ...]:
+        """The ids of one pre-token: one that is in the vocabulary whole, else those of its merged bytes."""
+        found = self.whole.get(raw)
+        return (self.order[found],) if found is not None else tuple(merge_bytes(raw, self.ranks))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
 
     def count(self, text: str) -> int:
-        return sum(map(len, map(self.memo.__getitem__, self.find(text))))
+        return sum(map(self.counts.__getitem__, self.find(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -2,17 +2,18 @@
 
 A store is a folder of signed deltas by batch. Inserts add a document and its tokens, deletes take them away, and
 a revised count adds the difference; each batch is reduced to additive totals by source, language and tokenizer version,
-so that the totals of the store are the sum over its batches and the work of a batch follows its size, not the store's.
-Every batch also keeps its signed rows by document, which later batches look up for the counts that they revise or take away.
-
-Commits are idempotent: a batch is written under its number in one folder, whole, and counts once its last table, the
-totals, has been committed; a batch whose number is committed is not written again, and one that broke off halfway is
-written anew, since each table is overwritten.
-
-Defined results: a null text has no tokens; null sources and languages are groups of their own; changes without an id
-are refused as a count of rejected rows; of several changes to one document and version in a batch the one with the
-largest `seq` holds (ties: the larger count); a delete or revision of an unknown document, and an insert of a known one,
-count as no delete, an insert and a revision.
+so that the totals of the store are the sum over its batches and no count is made twice. Every batch also keeps its signed
+rows by document, dealt into parts by a hash of the key and sorted; a later batch reads only the parts that its own keys
+fall into. `compact` folds the batches so far into one base, so that readers open a bounded number of folders.
+
+Commits are idempotent: a batch is written under its number, whole, and counts once its last table, the totals, has been
+committed; a batch whose number is committed is not written again, and one that broke off halfway is written anew,
+since each table is overwritten. One writer at a time commits a given number.
+
+Defined results: a null text has no tokens; null sources and languages are groups of their own; changes without an id,
+a tokenizer version or a known operation aren't applied but counted, as n_rejected of their group; of several changes to
+one document and version in a batch the one with the largest `seq` holds (ties: the larger count); a delete or revision
+of an unknown document, and an insert of a known one, count as no delete, an insert and a revision.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.byte_bpe import codec
-from tallyloom.llm.shared import ship, vocabulary, vocabulary_path
-from tallyloom.session import scratch_path
+from tallyloom.llm.shared import narrowed, ship, vocabulary, vocabulary_path
+from tallyloom.session import scratch_path, written
 
 KEYS = ("source", "lang", "tokenizer")
 LEDGER = "doc_id long, tokenizer string, source string, lang string, d_docs long, d_tokens long"
-TOTALS = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
+TOTALS = "source string, lang string, tokenizer string, d_docs long, d_tokens long, d_rejected long"
+#: Folders that the signed rows of a batch are dealt into.
+PARTS = 64
+#: Tasks that may write one part at once.
+SPREAD = 61
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", vocabulary_file: str | None = None) -> DataFrame:
@@ -48,82 +53,170 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", vocabu
     return own.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long").withColumn("tokenizer", F.lit(tokenizer))
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(PARTS)).cast("int").alias("part")
+
+
 class RollupStore:
     """The batches under a path that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _batches(self, table: str) -> list[str]:
-        """Folders of committed batches: those whose totals have Spark's success mark."""
+    def _folders(self, table: str, kind: str) -> dict[int, str]:
+        """Committed batches or bases by number: those whose totals have Spark's success mark."""
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/totals")
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at):
-            return []
+            return {}
         names = [s.getPath() for s in fs.listStatus(at)]
-        return sorted(f"{self.path}/{table}/{p.getName()}" for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return {int(n.partition("=")[2]): f"{self.path}/{table}/{n}" for n in sorted(done) if n.startswith(f"{kind}=")}
 
-    def committed(self) -> list[int]:
-        return [int(p.rpartition("=")[2]) for p in self._batches("totals")]
+    def _live(self, table: str) -> list[str]:
+        """The folders that readers add up: the last base and the batches that it doesn't hold."""
+        bases = self._folders(table, "base")
+        last = max(bases, default=None)
+        held = set(self._held(last))
+        return ([] if last is None else [bases[last]]) + [p for n, p in self._folders(table, "batch").items() if n not in held]
+
+    def _held(self, base: int | None) -> list[int]:
+        return [] if base is None else [r["batch"] for r in self.spark.read.schema("batch int").parquet(f"{self.path}/held/base={base}").collect()]
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        paths = self._batches(table)
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def committed(self) -> list[int]:
+        return sorted(self._folders("totals", "batch"))
+
+    def _read(self, table: str, schema: str, parts: list[int] | None = None) -> DataFrame:
+        paths = self._live(table)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        out = None
+        for path in paths:
+            one = self.spark.read.schema(schema + ", part int" * (table == "ledger")).parquet(path)
+            one = one if parts is None else one.where(F.col("part").isin(parts))
+            out = one if out is None else out.union(one)
+        return out.drop("part")
+
+    def _write(self, table: str, name: str, rows: DataFrame) -> None:
+        if table == "ledger":
+            rows = rows.withColumn("part", _part()).repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("part", "doc_id")
+            rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{table}/{name}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{name}")
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Commit changes (doc_id, source, lang, tokenizer, op, n_tokens, seq), op one of insert, delete and revise.
 
-        False where the batch is committed already. The changed documents alone are looked up in the ledger.
+        False where the batch is committed already. `changes` runs once: what holds of it is written before it is used.
         """
         if batch in self.committed():
             return False
         key = ["doc_id", "tokenizer"]
-        last = (
-            changes.where("doc_id is not null and tokenizer is not null and op in ('insert', 'delete', 'revise')")
-            .groupBy(*key)
-            .agg(F.max(F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "op", "source", "lang")).alias("c"))
-            .select(*key, "c.op", "c.source", "c.lang", "c.n_tokens")
+        fit = F.coalesce(F.expr("doc_id is not null and tokenizer is not null and op in ('insert', 'delete', 'revise')"), F.lit(False))
+        value = F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "op", "source", "lang")
+        # A rejected row has a key of its own group; a third of all rows may be rejected, so they are added up at once.
+        group = F.when(~fit, F.struct("source", "lang"))
+        last = written(
+            changes.select(F.when(fit, F.col("doc_id")).alias("doc_id"), "tokenizer", (~fit).alias("rejected"), group.alias("g"), value.alias("value"))
+            .groupBy(*key, "rejected", "g")
+            .agg(F.max("value").alias("c"), F.count("*").alias("n"))
+            .select(*key, "rejected", "c.op", F.coalesce("g.source", "c.source").alias("source"), F.coalesce("g.lang", "c.lang").alias("lang"), "c.n_tokens", "n"),
+            "changes",
         )
-        fresh = last.where("op <> 'delete'").select(*key, "source", "lang", F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").cast("long").alias("d_tokens"))
-        signed = fresh
-        if self._batches("ledger"):
-            known = self._read("ledger", LEDGER).join(last.select(*key), key, "left_semi").groupBy(*key, "source", "lang").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-            old = known.where("d_docs <> 0 or d_tokens <> 0").select(*key, "source", "lang", (-F.col("d_docs")).alias("d_docs"), (-F.col("d_tokens")).alias("d_tokens"))
-            both = old.union(fresh).groupBy(*key, "source", "lang").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-            signed = both.where("d_docs <> 0 or d_tokens <> 0")
-        ledger = f"{self.path}/ledger/batch={batch}"
-        signed.write.mode("overwrite").parquet(ledger)
-        totals = self.spark.read.schema(LEDGER).parquet(ledger).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        totals.write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
+        held = last.where("not rejected")
+        signed = held.where("op <> 'delete'").select(*key, "source", "lang", F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").cast("long").alias("d_tokens"))
+        if self._live("ledger"):
+            parts = [r["part"] for r in held.select(_part()).distinct().collect()]
+            known = self._read("ledger", LEDGER, parts).join(held.select(*key), key, "left_semi")
+            old = known.select(*key, "source", "lang", (-F.col("d_docs")).alias("d_docs"), (-F.col("d_tokens")).alias("d_tokens"))
+            signed = _net(old.union(signed))
+        self._write("ledger", f"batch={batch}", signed)
+        rows = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/batch={batch}").withColumn("d_rejected", F.lit(0).cast("long"))
+        refused = last.where("rejected").select(*KEYS, *(F.lit(0).cast("long").alias(c) for c in ("d_docs", "d_tokens")), F.col("n").alias("d_rejected"))
+        added = rows.select(*refused.columns).union(refused).groupBy(*KEYS)
+        self._write("totals", f"batch={batch}", added.agg(*(F.sum(c).alias(c) for c in ("d_docs", "d_tokens", "d_rejected"))))
         return True
 
+    def compact(self) -> int | None:
+        """Fold what readers add up into one base; its number, or None for an empty store. Batches stay committed."""
+        bases, batches = self._folders("totals", "base"), self.committed()
+        if not batches:
+            return None
+        name = f"base={max(bases, default=0) + 1}"
+        self._write("held", name, self.spark.createDataFrame([(n,) for n in batches], "batch int"))
+        self._write("ledger", name, _net(self._read("ledger", LEDGER)))
+        added = self._read("totals", TOTALS).groupBy(*KEYS)
+        self._write("totals", name, added.agg(*(F.sum(c).alias(c) for c in ("d_docs", "d_tokens", "d_rejected"))))
+        return max(bases, default=0) + 1
+
     def totals(self) -> DataFrame:
-        """Documents and tokens by source, language and tokenizer version."""
-        summed = self._read("totals", TOTALS).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return summed.where("n_docs <> 0 or n_tokens <> 0")
+        """Documents, tokens and rejected changes by source, language and tokenizer version."""
+        summed = self._read("totals", TOTALS).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"), F.sum("d_rejected").alias("n_rejected"))
+        return summed.where("n_docs <> 0 or n_tokens <> 0 or n_rejected <> 0")
 
     def documents(self) -> DataFrame:
         """The current count of each document and tokenizer version."""
-        net = self._read("ledger", LEDGER).groupBy("doc_id", "tokenizer", "source", "lang").agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return net.where("n_docs <> 0 or n_tokens <> 0")
+        return _net(self._read("ledger", LEDGER)).withColumnsRenamed({"d_docs": "n_docs", "d_tokens": "n_tokens"})
+
+
+def _net(signed: DataFrame) -> DataFrame:
+    """Signed rows added up by document, without those that cancel out."""
+    summed = signed.groupBy("doc_id", "tokenizer", "source", "lang").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+    return summed.where("d_docs <> 0 or d_tokens <> 0")
+
+
+VERSION = "byte_bpe_50k"
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Totals after four commits over all documents: inserts, a replay of the same batch, deletes of all copies of a text
-    but the one of the least id, and revised counts of the rest once their line breaks are spaces."""
+    """Totals of all documents by state, after each of three batches: `inserted`, all documents (the batch comes twice and
+    counts once); `deduplicated`, after deletes of all copies of a text but the one of the least id; `revised`, after
+    revised counts of the remaining texts once their line breaks are spaces."""
     spark = docs.sparkSession
     store = RollupStore(spark, scratch_path(spark, "rollup"))
     change = lambda df, op: df.select("doc_id", "source", "lang", "tokenizer", F.lit(op).alias("op"), "n_tokens", F.lit(0).alias("seq"))
-    inserts = change(count_tokens(docs, "byte_bpe_50k"), "insert")
+    state = lambda name: written(store.totals().select(F.lit(name).alias("state"), *KEYS, "n_docs", "n_tokens", "n_rejected"), name)
+    inserts = change(count_tokens(docs, VERSION), "insert")
     store.apply(1, inserts)
     store.apply(1, inserts)
-    keyed = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), F.col("text")).alias("b"))
+    first = state("inserted")
+    own = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
+    keyed = own.where("doc_id is not null").select("doc_id", "source", "lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), F.col("text")).alias("b"))
     least = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-    copies = keyed.join(least, ["a", "b"]).where("doc_id > least").withColumns({"tokenizer": F.lit("byte_bpe_50k"), "n_tokens": F.lit(0)})
+    copies = written(keyed.join(least, ["a", "b"]).where("doc_id > least").withColumns({"tokenizer": F.lit(VERSION), "n_tokens": F.lit(0).cast("long")}), "copies")
     store.apply(2, change(copies, "delete"))
-    held = store.documents().select("doc_id", "tokenizer").distinct()
-    broken = docs.where(F.contains("text", F.lit("\n"))).withColumn("text", F.regexp_replace("text", "\n", " "))
-    revised = count_tokens(broken, "byte_bpe_50k").join(held, ["doc_id", "tokenizer"], "left_semi")
-    store.apply(3, change(revised, "revise"))
-    return store.totals()
+    second = state("deduplicated")
+    broken = own.where(F.contains("text", F.lit("\n")) & F.col("doc_id").isNotNull()).withColumn("text", F.regexp_replace("text", "\n", " "))
+    left = narrowed(broken, copies, ["doc_id"], keep=False).union(narrowed(broken, copies, ["doc_id"]).join(copies.select("doc_id"), "doc_id", "left_anti").select(*broken.columns))
+    store.apply(3, change(count_tokens(left, VERSION), "revise"))
+    return first.union(second).union(state("revised"))
+
+
+def brute_force(rows: list[tuple[int | None, str | None, str | None, str | None]], count) -> dict[tuple, tuple[int, int, int]]:
+    """(n_docs, n_tokens, n_rejected) by state, source and language, stated plainly, for tests; rows (id, text, source, lang)."""
+    held: dict[int, tuple] = {}
+    rejected: dict[tuple, int] = {}
+    for i, text, source, lang in rows:
+        if i is None:
+            rejected[source, lang] = rejected.get((source, lang), 0) + 1
+        else:
+            best = lambda n, s, g: (n, (s is not None, s or ""), (g is not None, g or ""))
+            now = (count(text or ""), source, lang)
+            held[i] = max(held.get(i, now), now, key=lambda r: best(*r))
+    first: dict[str | None, int] = {}
+    for i, text, _, _ in rows:
+        if i is not None:
+            first[text] = min(i, first.get(text, i))
+    gone = {i for i, text, _, _ in rows if i is not None and first[text] < i}
+    states = [("inserted", dict(held)), ("deduplicated", {i: v for i, v in held.items() if i not in gone})]
+    revised = dict(states[1][1])
+    for i in revised:
+        texts = [(count(t.replace("\n", " ")), s, g) for j, t, s, g in rows if j == i and "\n" in (t or "")]
+        if texts:
+            revised[i] = max(texts, key=lambda r: (r[0], (r[1] is not None, r[1] or ""), (r[2] is not None, r[2] or "")))
+    out: dict[tuple, tuple[int, int, int]] = {}
+    for name, docs in [*states, ("revised", revised)]:
+        for (n, s, g), add in [*((v, (1, v[0], 0)) for v in docs.values()), *(((0, s, g), (0, 0, n)) for (s, g), n in rejected.items())]:
+            out[name, s, g] = tuple(map(sum, zip(out.get((name, s, g), (0, 0, 0)), add, strict=True)))
+    return out

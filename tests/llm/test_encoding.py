@@ -140,9 +140,25 @@ def test_rollup_store(spark, tmp_path):
     assert totals()["a", "en", "t1"] == (3, 9) and store.committed() == [1, 2, 3]
     assert {(r.doc_id, r.n_tokens) for r in store.documents().where("tokenizer = 't1'").collect()} == {(1, 1), (2, 6), (3, 7), (8, 2)}
     # a batch that broke off before its totals counts for nothing and is written anew
-    spark.createDataFrame([(5, "t1", "a", "en", 1, 99)], token_rollup.LEDGER).write.parquet(f"file://{tmp_path}/r/ledger/batch=4")
+    spark.createDataFrame([(5, "t1", "a", "en", 1, 99)], token_rollup.LEDGER).withColumn("part", token_rollup._part()).write.partitionBy("part").parquet(f"file://{tmp_path}/r/ledger/batch=4")
     assert totals()["a", "en", "t1"] == (3, 9)
     assert store.apply(4, change((5, "a", "en", "t1", "insert", 1, 0))) and totals()["a", "en", "t1"] == (4, 10)
+    # rejected changes are counted, and a base stands for the batches that it holds
+    assert {(r.source, r.n_rejected) for r in store.totals().where("n_rejected > 0").collect()} == {("a", 1)}
+    before, documents = totals(), sorted(map(tuple, store.documents().collect()))
+    assert store.compact() == 1 and totals() == before and sorted(map(tuple, store.documents().collect())) == documents
+    assert not store.apply(3, change((1, "a", "en", "t1", "insert", 50, 0))) and store.committed() == [1, 2, 3, 4]
+    assert store.apply(5, change((5, "a", "en", "t1", "delete", 0, 0), (1, "a", "en", "t1", "revise", 2, 0))) and totals()["a", "en", "t1"] == (3, 10)
+    assert store.compact() == 2 and totals()["a", "en", "t1"] == (3, 10) and len(store._live("ledger")) == 1
+
+
+def test_rollup_query(spark, documents, odd):
+    n = lambda s: len(LIBRARY.encode_ordinary(s))
+    for frame in (odd, documents):
+        rows = [(r.doc_id, r.text, r.source, r.lang) for r in frame.collect()]
+        got = {(r.state, r.source, r.lang): (r.n_docs, r.n_tokens, r.n_rejected) for r in token_rollup.query(frame).collect()}
+        assert got == token_rollup.brute_force(rows, n)
+    assert token_rollup.query(odd.limit(0)).count() == 0
 
 
 def test_token_counts(spark, odd):

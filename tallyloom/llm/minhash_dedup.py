@@ -38,8 +38,8 @@ BANDS, ROWS = 16, 4
 #: Buckets of document frequencies, and steps of weight: an element's low four bits hold its step.
 DF_BITS, STEPS = 17, 16
 _POOL = 1 << 16
-#: Bytes of weighted sets that go to a Python worker at once.
-SET_BATCH = "8m"
+#: Bytes of texts or weighted sets that go to a Python worker at once.
+BATCH = "4m"
 
 SIGNED = "id long, text_key long, seq_a long, seq_b long, bands array<long>"
 SIGNED_ARROW = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -130,7 +130,9 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def document_frequencies(own: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by hashed bucket, over all of them, and their number. 2^DF_BITS counts reach the driver, at any size."""
     df, n_docs = np.zeros(1 << DF_BITS, dtype=np.int64), 0
-    for row in own.select("text").mapInArrow(_count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    with batch_bytes(own.sparkSession, BATCH):
+        rows = own.select("text").mapInArrow(_count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    for row in rows:
         if row["bucket"] < 0:
             n_docs = row["n"]
         else:
@@ -171,7 +173,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    with batch_bytes(sets.sparkSession, SET_BATCH):
+    with batch_bytes(sets.sparkSession, BATCH):
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, similarity double"), label)
 
 
@@ -205,7 +207,7 @@ def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame, thre
     placed = written(members.where("n > 2").select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")).join(sets.select("node", "w"), "node"), "placed")
     undecided = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("w").alias("lightest")).where("x <> y").select("key", "lightest")
     texts = placed.join(undecided, "key").groupBy("node", "c", "w").agg(F.min("lightest").alias("lightest"))
-    with batch_bytes(sets.sparkSession, SET_BATCH):
+    with batch_bytes(sets.sparkSession, BATCH):
         chosen = texts.join(sets.select("node", "set"), "node").select("node", "c", "w", "set", "lightest")
         own = written(chosen.mapInArrow(prefixes, "node long, c long, w double, e array<long>, rest array<double>"), "prefixes")
     rows = own.select("node", "c", "w", F.explode(F.arrays_zip("e", "rest")).alias("z")).select("node", "c", "w", "z.e", "z.rest")
@@ -233,7 +235,7 @@ def similar_links(texts: DataFrame, own: DataFrame, steps, threshold: float) ->
     key = ["id", "text_key"]
     involved = written(texts.select("node", *key).join(members.select("node").distinct(), "node", "left_semi"), "involved")
     found = narrowed(own, involved, key).join(involved, key).dropDuplicates(["node"]).select("node", "text")
-    with batch_bytes(own.sparkSession, SET_BATCH):
+    with batch_bytes(own.sparkSession, BATCH):
         sets = written(found.mapInArrow(make_sets, "node long, w double, set binary"), "sets")
     links = _verified(_stars(members), sets, threshold, "links")
     return links.union(_remaining_links(members, links, sets, threshold))
@@ -267,7 +269,8 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thr
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SIGNED_ARROW, strict=True)], schema=SIGNED_ARROW)
 
     seq = ["seq_a", "seq_b"]
-    all_signed = written(own.mapInArrow(sign, SIGNED), "signed")
+    with batch_bytes(spark, BATCH):
+        all_signed = written(own.mapInArrow(sign, SIGNED), "signed")
     least = F.min_by(F.struct("id", "text_key", "bands"), F.struct("id", "text_key"))
     several = written(all_signed.groupBy("id").agg(F.min("seq_a").alias("x"), F.max("seq_a").alias("y")).where("x <> y").select("id"), "shared-ids")
     # A text is named by its least id, or by its hash where other texts have that id too.

@@ -18,14 +18,14 @@ of an unknown document, and an insert of a known one, count as no delete, an ins
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.byte_bpe import codec
-from tallyloom.llm.shared import narrowed, ship, vocabulary, vocabulary_path
+from tallyloom.llm.shared import ship, vocabulary, vocabulary_path
 from tallyloom.session import scratch_path, written
 
 KEYS = ("source", "lang", "tokenizer")
@@ -37,8 +37,8 @@ PARTS = 64
 SPREAD = 61
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", vocabulary_file: str | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer and n_tokens of every row, in one scan."""
+def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", vocabulary_file: str | None = None, revise: Callable[[str], str] | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer and n_tokens of every row, in one scan; n_revised counts revise(text) where it differs."""
     spark = docs.sparkSession
     ship(spark)
     ranks = vocabulary(spark, vocabulary_file or vocabulary_path("byte_bpe_50k.tiktoken"))
@@ -46,11 +46,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(ranks.value)
         for batch in batches:
-            n = pa.array([use.count(x.as_py() or "") for x in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n], names=["doc_id", "source", "lang", "n_tokens"])
+            n, later = [], []
+            for x in batch.column(3):
+                text = x.as_py() or ""
+                n.append(use.count(text))
+                new = text if revise is None else revise(text)
+                later.append(None if new == text else use.count(new))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(later, pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_revised"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long").withColumn("tokenizer", F.lit(tokenizer))
+    return own.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, n_revised long").withColumn("tokenizer", F.lit(tokenizer))
 
 
 def _part() -> Column:
@@ -177,19 +182,18 @@ def query(docs: DataFrame) -> DataFrame:
     store = RollupStore(spark, scratch_path(spark, "rollup"))
     change = lambda df, op: df.select("doc_id", "source", "lang", "tokenizer", F.lit(op).alias("op"), "n_tokens", F.lit(0).alias("seq"))
     state = lambda name: written(store.totals().select(F.lit(name).alias("state"), *KEYS, "n_docs", "n_tokens", "n_rejected"), name)
-    inserts = change(count_tokens(docs, VERSION), "insert")
+    counts = written(count_tokens(docs, VERSION, revise=lambda text: text.replace("\n", " ")), "counts")
+    inserts = change(counts, "insert")
     store.apply(1, inserts)
     store.apply(1, inserts)
     first = state("inserted")
-    own = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
-    keyed = own.where("doc_id is not null").select("doc_id", "source", "lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), F.col("text")).alias("b"))
+    keyed = docs.where("doc_id is not null").select("doc_id", "source", "lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), F.col("text")).alias("b"))
     least = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     copies = written(keyed.join(least, ["a", "b"]).where("doc_id > least").withColumns({"tokenizer": F.lit(VERSION), "n_tokens": F.lit(0).cast("long")}), "copies")
     store.apply(2, change(copies, "delete"))
     second = state("deduplicated")
-    broken = own.where(F.contains("text", F.lit("\n")) & F.col("doc_id").isNotNull()).withColumn("text", F.regexp_replace("text", "\n", " "))
-    left = narrowed(broken, copies, ["doc_id"], keep=False).union(narrowed(broken, copies, ["doc_id"]).join(copies.select("doc_id"), "doc_id", "left_anti").select(*broken.columns))
-    store.apply(3, change(count_tokens(left, VERSION), "revise"))
+    broken = counts.where("n_revised is not null and doc_id is not null").withColumn("n_tokens", F.col("n_revised"))
+    store.apply(3, change(broken.join(copies.select("doc_id"), "doc_id", "left_anti"), "revise"))
     return first.union(second).union(state("revised"))
 
 

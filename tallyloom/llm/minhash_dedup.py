@@ -194,6 +194,15 @@ def common_weight(w, v, threshold: float):
     return (w + v) * (threshold / (1 + threshold) * (1 - 1e-9))
 
 
+def _first_of_equals(rows: DataFrame) -> DataFrame:
+    """The elements of texts of several classes; of those that the same texts have, only the first in the order of sets. A
+    first common element is the first of its equals, since both texts have all of them."""
+    texts = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"k{k}") for k in (1, 2))]
+    held = rows.groupBy("e").agg(F.min("c").alias("x"), F.max("c").alias("y"), *texts).where("x <> y")
+    place = F.struct(-F.col("e").bitwiseAND(F.lit(STEPS - 1)), F.col("e").bitwiseXOR(F.lit(-(1 << 63))))
+    return held.groupBy("n", "k1", "k2").agg(F.min_by("e", place).alias("e")).select("e")
+
+
 def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """All verified links between texts of one bucket that `links` don't put into one class already."""
 
@@ -213,7 +222,7 @@ def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame, thre
     rows = own.select("node", "c", "w", F.explode(F.arrays_zip("e", "rest")).alias("z")).select("node", "c", "w", "z.e", "z.rest")
     met = lambda of: of.groupBy("e").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("w").alias("v")).where("x <> y").select("e", "v")
     open_rows = written(rows.join(met(rows), "e").where(F.col("rest") >= common_weight(F.col("w"), F.col("v"), threshold)).drop("v"), "open")
-    left = open_rows.join(met(open_rows).select("e"), "e", "left_semi")
+    left = open_rows.join(_first_of_equals(open_rows), "e", "left_semi")
     right = left.select("e", *(F.col(x).alias(y) for x, y in (("node", "b"), ("c", "d"), ("w", "v"), ("rest", "over"))))
     enough = F.least("rest", "over") >= common_weight(F.col("w"), F.col("v"), threshold)
     pairs = left.join(right, "e").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("d")) & enough).select(F.col("node").alias("a"), "b").distinct()

@@ -1,12 +1,14 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is factored against the indexed blocks of all documents with smaller ids. The index is exact and
-small: each window of 50 words is anchored at the least hash among its runs of 16 words, equal windows have equal
-anchors, and only windows under an anchor that occurs in two different texts can match at all. These alone are indexed,
-by (anchor, window) hash with the least document that holds them. A document is then parsed greedily: at the first
-position whose window is in the index a factor starts, it grows as long as the following windows are found in the same
-reference document, and at its end the windows across the boundary are looked up in turn. Factors of 50 words or more
-are duplicate spans, and their words go.
+Every document is factored against the indexed blocks of all documents with smaller ids. The index maps each window of
+50 words to its first place: the least document that holds it, and where. It is exact and small: a window is anchored
+at the least hash among its runs of 16 words, equal windows have equal anchors, and only windows under an anchor that
+occurs in two different texts can match at all, so only these are indexed, by (anchor, window) hash.
+
+The blocks of words that a document's windows point to are joined to it, and it is parsed greedily, word by word: at the
+first window with a place in the index a factor starts, and grows as long as its words equal those of the reference. At
+its end the windows across the boundary are looked up in turn, the first of them with a place starts the next factor.
+So every factor is a verified substring of its reference, of 50 words or more, and the words under factors go.
 
 Documents with equal word sequences are one text: the copy with the least id is parsed for all, the words of every
 other copy go as a whole if it has a window.
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import ship
+from tallyloom.llm.shared import narrowed, ship
 from tallyloom.llm.shingles import gram_hashes, sequence_key, sliding_min, word_hashes, words_of
 from tallyloom.session import written
 
 #: Words of a window, and of the runs among which its anchor is chosen.
 WINDOW = 50
 ANCHOR = 16
+#: Words of a reference block.
+BLOCK = 64
 
 TEXTS = "doc_id long, text_key long, n_words long, words_sha256 string, seq_a long, seq_b long, anchors array<long>"
 TEXTS_ARROW = pa.schema(
@@ -41,9 +45,14 @@ PARSED = "doc_id long, seq_a long, seq_b long, text string, starts array<int>, w
 PARSED_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))]
 )
-FACTORED = "seq_a long, seq_b long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref:long>>"
+RUNS = "seq_a long, seq_b long, runs array<struct<start:int,n:int,ref:long,ref_a:long,ref_b:long,at:int>>"
+BLOCKS = "ref_a long, ref_b long, block int, words binary"
+FACTORED = "seq_a long, seq_b long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref:long,at:int>>"
+_PLACE = [("ref", pa.int64()), ("ref_a", pa.int64()), ("ref_b", pa.int64()), ("at", pa.int32())]
+RUNS_ARROW = pa.schema([("seq_a", pa.int64()), ("seq_b", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), *_PLACE])))])
+BLOCKS_ARROW = pa.schema([("ref_a", pa.int64()), ("ref_b", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
 FACTORED_ARROW = pa.schema(
-    [("seq_a", pa.int64()), ("seq_b", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref", pa.int64())])))]
+    [("seq_a", pa.int64()), ("seq_b", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref", pa.int64()), ("at", pa.int32())])))]
 )
 
 
@@ -81,40 +90,96 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARSED_ARROW, strict=True)], schema=PARSED_ARROW)
 
 
-def parse(found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, reference) of (window start, reference document), sorted by start."""
-    factors: list[tuple[int, int, int]] = []
-    for start, ref in found:
-        if factors and factors[-1][2] == ref and factors[-1][0] + factors[-1][1] - WINDOW + 1 == start:
-            factors[-1] = (factors[-1][0], factors[-1][1] + 1, ref)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def runs_of(found: list[dict]) -> list[dict]:
+    """Windows one after the other whose places follow each other in one reference, as one run of n windows."""
+    runs: list[dict] = []
+    for m in sorted(found, key=lambda m: m["start"]):
+        last = runs[-1] if runs else None
+        if last and (last["ref"], last["ref_a"], last["ref_b"]) == (m["ref"], m["ref_a"], m["ref_b"]) and m["start"] - last["start"] == m["at"] - last["at"] == last["n"]:
+            last["n"] += 1
         else:
-            factors.append((start, WINDOW, ref))
+            runs.append(m | {"n": 1})
+    return runs
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(a.as_py(), b.as_py(), runs_of(found.as_py())) for a, b, found in zip(*batch.columns, strict=True)], RUNS_ARROW)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asked blocks of reference texts."""
+    for batch in batches:
+        rows = []
+        for a, b, text, asked in zip(*batch.columns, strict=True):
+            words = words_of(text.as_py())
+            rows += [(a.as_py(), b.as_py(), k, b" ".join(words[k * BLOCK : (k + 1) * BLOCK])) for k in asked.as_py()]
+        yield _batch(rows, BLOCKS_ARROW)
+
+
+def common_length(words: list[bytes], start: int, blocks: dict[int, list[bytes]], at: int) -> int:
+    """How many words from start on equal those of the reference from `at` on, as far as its blocks are there."""
+    n = 0
+    while (block := blocks.get((at + n) // BLOCK)) is not None:
+        theirs = block[(at + n) % BLOCK :]
+        mine = words[start + n : start + n + len(theirs)]
+        if mine != theirs:
+            return n + next((k for k, (x, y) in enumerate(zip(mine, theirs)) if x != y), len(mine))
+        n += len(theirs)
+        if not theirs:
+            break
+    return n
+
+
+def parse(words: list[bytes], runs: list[dict], blocks: dict[tuple[int, int], dict[int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, reference, place in it) of 50 words or more; blocks by reference text and number."""
+    factors: list[tuple[int, int, int, int]] = []
+    free = 0
+    for run in sorted(runs, key=lambda r: r["start"]):
+        own = blocks.get((run["ref_a"], run["ref_b"]), {})
+        start = max(run["start"], free)
+        while start < run["start"] + run["n"]:
+            at = run["at"] + start - run["start"]
+            length = common_length(words, start, own, at)
+            if length >= WINDOW:
+                factors.append((start, length, run["ref"], at))
+                free = start = start + length - WINDOW + 1
+            else:  # equal hashes of different words
+                start += 1
     return factors
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for a, b, text, found in zip(*batch.columns, strict=True):
+        for a, b, text, runs, supplied in zip(*batch.columns, strict=True):
             words = words_of(text.as_py())
-            factors = parse(sorted((m["start"], m["ref"]) for m in found.as_py() or ()))
+            blocks: dict[tuple[int, int], dict[int, list[bytes]]] = {}
+            for x in supplied.as_py():
+                blocks.setdefault((x["ref_a"], x["ref_b"]), {})[x["block"]] = x["words"].split(b" ")
+            factors = parse(words, runs.as_py(), blocks)
             gone = np.zeros(len(words) + 1, dtype=np.int64)
-            for start, length, _ in factors:
+            for start, length, _, _ in factors:
                 gone[start] += 1
                 gone[start + length] -= 1
             keep = np.cumsum(gone)[:-1] == 0
             kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            rows.append((a.as_py(), b.as_py(), len(words) - len(kept), _sha(kept), [dict(zip(("start", "length", "ref"), f, strict=True)) for f in factors]))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FACTORED_ARROW, strict=True)], schema=FACTORED_ARROW)
+            rows.append((a.as_py(), b.as_py(), len(words) - len(kept), _sha(kept), [dict(zip(("start", "length", "ref", "at"), f, strict=True)) for f in factors]))
+        yield _batch(rows, FACTORED_ARROW)
 
 
 def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and factors (start, length, ref).
+    """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and factors (start, length, ref, at).
 
-    The text of documents under a shared anchor is shuffled once, all other text never; anchors are about a sixteenth
-    of the words and windows are shuffled only under shared anchors. Keys are aggregated before each shuffle or met
-    by joins that adaptive execution splits, so that a passage in a third of all documents is no hot task.
+    Texts under a shared anchor are shuffled, and a filter of a fixed size keeps the others out as far as its buckets go
+    round; anchors are about a sixteenth of the words, windows are shuffled only under shared anchors, blocks only where a
+    window points to them. Keys are aggregated before each shuffle or met by joins that adaptive execution splits, so
+    that a passage in a third of all documents is no hot task.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
@@ -130,21 +195,33 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "text_key", *seq).agg(F.collect_set("anchor").alias("anchors"))
     one = F.struct("text_key", "anchors")
     wanted = wanted.groupBy("doc_id", *seq).agg(F.min(one).alias("one")).select("doc_id", *seq, "one.text_key", "one.anchors")
-    parsed = written(own.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", *seq, "text", "anchors").mapInArrow(_windows, PARSED), "parsed")
-    spread = parsed.select("doc_id", *seq, F.explode(F.arrays_zip("starts", "windows", "marks")).alias("w")).select("doc_id", *seq, "w.starts", "w.windows", "w.marks")
-    index = spread.groupBy("marks", "windows").agg(F.min("doc_id").alias("ref"))
-    matches = spread.join(index, ["marks", "windows"]).where("ref < doc_id").groupBy(*seq).agg(F.collect_list(F.struct(F.col("starts").alias("start"), "ref")).alias("found"))
-    factored = parsed.select(*seq, "text").join(matches, seq).select(*seq, "text", "found").mapInArrow(_factor, FACTORED)
+    key = ["doc_id", "text_key"]
+    wanted = written(wanted, "wanted")
+    chosen = narrowed(own, wanted, key).join(wanted, key).dropDuplicates(key)
+    parsed = written(chosen.select("doc_id", *seq, "text", "anchors").mapInArrow(_windows, PARSED), "parsed")
+    spread = parsed.select("doc_id", *seq, F.explode(F.arrays_zip("starts", "windows", "marks")).alias("w")).select("doc_id", *seq, F.col("w.starts").alias("start"), "w.windows", "w.marks")
+    place = F.struct("doc_id", *seq, "start")
+    index = spread.groupBy("marks", "windows").agg(F.min(place).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").drop("last")
+    match = F.struct("start", F.col("ref.doc_id").alias("ref"), F.col("ref.seq_a").alias("ref_a"), F.col("ref.seq_b").alias("ref_b"), F.col("ref.start").alias("at"))
+    matches = spread.join(index, ["marks", "windows"]).where("ref.doc_id < doc_id").groupBy(*seq).agg(F.collect_list(match).alias("found"))
+    runs = written(matches.mapInArrow(_runs, RUNS), "runs")
+    numbers = F.sequence(F.floor(F.col("r.at") / BLOCK).cast("int"), F.floor((F.col("r.at") + F.col("r.n") + (WINDOW - 2)) / BLOCK).cast("int"))
+    asked = written(runs.select(*seq, F.explode("runs").alias("r")).select(*seq, "r.ref_a", "r.ref_b", F.explode(numbers).alias("block")).distinct(), "asked")
+    by_text = asked.select("ref_a", "ref_b", "block").distinct().groupBy("ref_a", "ref_b").agg(F.collect_list("block").alias("blocks"))
+    texts_of = parsed.select(F.col("seq_a").alias("ref_a"), F.col("seq_b").alias("ref_b"), "text").join(by_text, ["ref_a", "ref_b"])
+    blocks = texts_of.select("ref_a", "ref_b", "text", "blocks").mapInArrow(_blocks, BLOCKS)
+    supplied = asked.join(blocks, ["ref_a", "ref_b", "block"]).groupBy(*seq).agg(F.collect_list(F.struct("ref_a", "ref_b", "block", "words")).alias("supplied"))
+    factored = parsed.select(*seq, "text").join(runs, seq).join(supplied, seq).select(*seq, "text", "runs", "supplied").mapInArrow(_factor, FACTORED)
     known = least.join(factored, seq, "left")
     copy = (F.col("doc_id") > F.col("rep_id")) & (F.col("n_words") >= WINDOW)
     parsed_one = (F.col("doc_id") == F.col("rep_id")) & F.col("n_removed").isNotNull()
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("rep_id").alias("ref")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("rep_id").alias("ref"), F.lit(0).alias("at")))
     return texts.join(known, seq, "left").select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).when(parsed_one, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(copy, F.lit(_sha([]))).when(parsed_one, F.col("kept_sha256")).otherwise(F.col("words_sha256")).alias("kept_sha256"),
-        F.when(copy, whole).when(parsed_one, F.col("factors")).otherwise(F.array().cast("array<struct<start:int,length:int,ref:bigint>>")).alias("factors"),
+        F.when(copy, whole).when(parsed_one, F.col("factors")).otherwise(F.array().cast("array<struct<start:int,length:int,ref:bigint,at:int>>")).alias("factors"),
     )
 
 

@@ -146,8 +146,26 @@ def test_substrings_equal_sql(spark, documents):
     assert sorted(con.execute(OP10_SQL).fetchall()) == sorted(tuple(r) for r in substring_dedup.query(documents).collect())
 
 
-def test_factors():
-    assert substring_dedup.parse([(0, 1), (1, 1), (2, 1), (3, 9), (70, 9)]) == [(0, 52, 1), (3, 50, 9), (70, 50, 9)]
+def test_factors_are_substrings_of_their_references(spark, documents):
+    words = lambda a, b: [f"w{k}" for k in range(a, b)]
+    long = documents.where("length(text) > 3000").orderBy("doc_id").first().text.split()
+    rows = {
+        1: [*words(0, 50), "gap", *words(1, 51)],
+        2: words(0, 51),
+        3: long[:400],
+        4: ["new", *long[100:300], "gap", *long[250:330], *words(0, 50)],
+        5: [*long[120:180], *long[200:249], "end"],
+        6: words(0, 51),
+    }
+    out = substring_dedup.dedup_substrings(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    factors = {r.doc_id: [tuple(f) for f in r.factors] for r in out}
+    assert factors[1] == factors[3] == [] and factors[2] == [(0, 50, 1, 0), (1, 50, 1, 51)] and factors[6] == [(0, 51, 2, 0)]
+    assert factors[4] == [(1, 200, 3, 100), (202, 80, 3, 250), (282, 50, 1, 0)] and factors[5] == [(0, 60, 3, 120)]
+    for i, own in factors.items():
+        for start, length, ref, at in own:
+            assert length >= 50 and ref < i and rows[i][start : start + length] == rows[ref][at : at + length]
+    plain = {i: (n, gone) for i, n, gone, _ in substring_dedup.brute_force([(i, " ".join(w)) for i, w in rows.items()])}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in out} == plain
 
 
 def test_alignment():

@@ -1,14 +1,19 @@
-"""License scans: sparse TF-IDF cosine to notice templates, then inheritance from the nearest ancestor directory.
+"""License scans: sparse TF-IDF cosine to licence texts and notices, then inheritance from the nearest ancestor directory.
 
-Lines, sentences and paragraphs of a whole text that hold a licence word are compared with the templates: terms weigh
-(1 + ln tf) * idf, idf over the templates, and a term that no template has weighs like one in a single template. All of
-this stays inside the row, as array functions over constants, so texts are never shuffled. A file is a licence file
-if its name says so or if the notice is at least half of its words; a directory takes the best notice of its licence
-files, and files without a notice take the licence of the nearest directory above them that has one, by joins on paths.
+A whole text is compared with whole licence texts, its first words with the heads of long ones, and each of its lines,
+sentences and paragraphs with notices: terms weigh (1 + ln tf) * idf, idf over all templates, and a term that no template
+has weighs like one in a single template. All of this stays inside the row, as array functions over constants, so texts
+are never shuffled. A unit that has none of the telling terms of any template can't reach the least cosine, since what
+is left of every template is shorter than that; texts and units without such a term are passed over, which loses nothing.
+
+A file-wide match goes before a notice; of matches that are as near to two digits the template that stands first counts. A
+file is a licence file if its name says so or if the match is at least half of its words; a directory takes the best match
+of its licence files, and files without one take the licence of the nearest directory above them that has one, by joins
+on paths.
 
 Defined results: a null text has no notice; a null path has no directory and inherits nothing; repeated rows each get
-their result; ties go to the name that sorts first; without templates above the threshold the licence is null; other
-columns are not read.
+their result; equal matches of a directory's files go to the name that sorts first; without a template above the
+threshold the licence is null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,81 +25,109 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices of common licences, by SPDX identifier.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain"
+from tallyloom.llm.license_templates import HEADS, NOTICES, WHOLE
+from tallyloom.session import written
+
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 TERM = "[a-z0-9]+"
 MIN_COSINE = 0.75
+#: Terms of a text's head.
+HEAD_TERMS = 60
+#: Tasks over which one directory's descendants are spread in the join with licence files.
+SPREAD = 16
+
+#: Words that most English texts have; they tell nothing, so they are chosen last.
+EVERYDAY = frozenset(
+    "a about all also an and any are as at be but by can do does first for free from has have if in into is it its may more most must name new no not of on "
+    "one only or other out see shall so take than that the their this to under use was we what which will with without work you your".split()
+)
 
+#: (kind, licence, text) of all templates; a kind of unit is compared with templates of that kind.
+TEMPLATES = (*(("whole", *x) for x in WHOLE), *(("head", *x) for x in HEADS), *(("notice", *x) for x in NOTICES))
 
-def template_vectors(templates=TEMPLATES) -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
-    """idf by term, the idf of other terms, and a vector of length 1 for each template."""
-    counts = [(name, Counter(re.findall(TERM, text.lower()))) for name, text in templates]
-    df = Counter(term for _, c in counts for term in c)
+
+def template_vectors(templates=TEMPLATES) -> tuple[dict[str, float], float, list[tuple[str, str, dict[str, float]]]]:
+    """idf by term, the idf of other terms, and kind, licence and a vector of length 1 of each template."""
+    counts = [(kind, name, Counter(re.findall(TERM, text.lower())[: HEAD_TERMS if kind == "head" else None])) for kind, name, text in templates]
+    df = Counter(term for *_, c in counts for term in c)
     idf = {term: 1 + math.log(len(counts) / n) for term, n in df.items()}
     vectors = []
-    for name, c in counts:
+    for kind, name, c in counts:
         v = {term: (1 + math.log(n)) * idf[term] for term, n in c.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
-        vectors.append((name, {term: w / norm for term, w in v.items()}))
+        vectors.append((kind, name, {term: w / norm for term, w in v.items()}))
     return idf, 1 + math.log(max(1, len(counts))), vectors
 
 
+def telling_terms(vectors, min_cosine: float) -> list[str]:
+    """Terms of which every unit that reaches min_cosine has one: of each template so many, everyday words last, that the
+    others together are shorter than min_cosine. Short templates choose first and long ones share their terms."""
+    out: set[str] = set()
+    for _, _, v in sorted(vectors, key=lambda x: (len(x[2]), x[0], x[1])):
+        left = sum(w * w for term, w in v.items() if term not in out)
+        for term in sorted(v.keys() - out, key=lambda t: (t in EVERYDAY or t.isdigit(), -v[t], t)):
+            if left < min_cosine * min_cosine * (1 - 1e-9):
+                break
+            out.add(term)
+            left -= v[term] * v[term]
+    return sorted(out)
+
+
+def any_word(words: list[str]) -> str:
+    """A pattern of any of the words as a whole term, as a tree of their letters, so that most places fail at once."""
+
+    def branch(rest: list[str]) -> str:
+        tails: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                tails.setdefault(w[0], []).append(w[1:])
+        options = "|".join(c + branch(t) for c, t in sorted(tails.items()))
+        return ("(?:" + options + ")" + "?" * ("" in rest)) if options else ""
+
+    return f"(?<![a-z0-9]){branch(sorted(words))}(?![a-z0-9])" if words else "(?!)"
+
+
 def _map(d: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for k, v in sorted(d.items()) for x in (k, float(v))))
 
 
-def notices(text: Column, templates=TEMPLATES) -> tuple[Column, Column]:
-    """Two steps: `units`, the terms of each candidate unit, from text; and the best (cosine, n_terms, license) from `units`."""
+def matches(low: Column, min_cosine: float, templates=TEMPLATES) -> tuple[Column, Column, Column]:
+    """Three steps: whether a lower-case text can match at all; `units` of it; and the best (file_wide, near, cosine, n,
+    license) from `units`, null for none."""
     idf, other, vectors = template_vectors(templates)
+    telling = telling_terms(vectors, min_cosine)
     vocabulary = F.array(*(F.lit(t) for t in sorted(idf)))
-    parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\t\r]*\n"), F.split(text, r"(?<=[.!?])[\x20\t\r\n]+")))
-    units = F.transform(F.filter(parts, lambda u: u.rlike(CUE)), lambda u: F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)))
-    weights = F.array(*(F.struct(F.lit(name).alias("license"), _map(v).alias("w")) for name, v in vectors))
+    told = F.array(*(F.lit(t) for t in telling))
+    terms_of = lambda u: F.regexp_extract_all(u, F.lit(TERM), F.lit(0))
+    parts = F.array_distinct(F.concat(F.split(low, "\n"), F.split(low, r"\n[\x20\t\r]*\n"), F.split(low, r"(?<=[.!?])[\x20\t\r\n]+")))
+    every = F.array(F.struct(F.lit("whole").alias("kind"), terms_of(low).alias("terms")), F.struct(F.lit("head").alias("kind"), F.slice(terms_of(low), 1, HEAD_TERMS).alias("terms")))
+    units = F.filter(F.concat(every, F.transform(parts, lambda u: F.struct(F.lit("notice").alias("kind"), terms_of(u).alias("terms")))), lambda u: F.arrays_overlap(u["terms"], told))
+    weights = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.lit(name).alias("license"), _map(v).alias("w")) for at, (kind, name, v) in enumerate(vectors)))
     idf_of = _map(idf)
 
-    def vector(terms: Column) -> Column:
+    def vector(u: Column) -> Column:
+        terms = u["terms"]
         known = F.transform(
             F.array_intersect(terms, vocabulary),
-            lambda x: F.struct(x.alias("term"), ((1 + F.log(F.size(F.filter(terms, lambda y: y == x)).cast("double"))) * F.element_at(idf_of, x)).alias("w")),
+            lambda x: F.struct(x.alias("term"), ((1 + F.log((F.size(terms) - F.size(F.array_remove(terms, x))).cast("double"))) * F.element_at(idf_of, x)).alias("w")),
         )
-        return F.struct(known.alias("known"), F.size(terms).alias("n"), (F.size(F.array_except(terms, vocabulary)) * other * other).alias("rest"))
+        outside = F.transform(F.array_except(terms, vocabulary), lambda x: other * (1 + F.log((F.size(terms) - F.size(F.array_remove(terms, x))).cast("double"))))
+        rest = F.when(u["kind"] == "whole", F.size(F.array_except(terms, vocabulary)) * other * other).otherwise(F.aggregate(outside, F.lit(0.0), lambda s, w: s + w * w))
+        return F.struct(u["kind"].alias("kind"), known.alias("known"), F.size(terms).alias("n"), rest.alias("rest"))
+
+    better = lambda a, b: F.when(a.isNull() | (b > a), b).otherwise(a)
 
     def best(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v["known"], v["rest"].cast("double"), lambda s, k: s + k["w"] * k["w"]))
-        scores = F.transform(
-            weights,
-            lambda t: F.struct(
-                (F.aggregate(v["known"], F.lit(0.0), lambda s, k: s + k["w"] * F.coalesce(F.try_element_at(t["w"], k["term"]), F.lit(0.0))) / F.greatest(norm, F.lit(1e-9))).alias("cosine"),
-                v["n"].alias("n"),
-                t["license"].alias("license"),
-            ),
+        cosine = lambda t: F.aggregate(v["known"], F.lit(0.0), lambda s, k: s + k["w"] * F.coalesce(F.try_element_at(t["w"], k["term"]), F.lit(0.0))) / F.greatest(norm, F.lit(1e-9))
+        scores = F.transform(F.filter(weights, lambda t: t["kind"] == v["kind"]), lambda t: F.struct(cosine(t).alias("cosine"), (-t["at"]).alias("place"), t["license"].alias("license")))
+        ranked = F.transform(
+            F.filter(scores, lambda x: x["cosine"] >= min_cosine),
+            lambda x: F.struct((v["kind"] != "notice").alias("file_wide"), F.round(x["cosine"], 2).alias("near"), x["place"].alias("place"), x["cosine"].alias("cosine"), v["n"].alias("n"), x["license"].alias("license")),
         )
-        return F.reduce(scores, F.element_at(scores, 1), lambda a, b: F.when((b["cosine"] > a["cosine"]) | ((b["cosine"] == a["cosine"]) & (b["license"] < a["license"])), b).otherwise(a))
+        return F.array_max(ranked)
 
-    found = F.transform(F.transform(F.col("units"), vector), best)
-    none = F.struct(F.lit(0.0).alias("cosine"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("license"))
-    top = F.reduce(found, none, lambda a, b: F.when((b["cosine"] > a["cosine"]) | ((b["cosine"] == a["cosine"]) & (b["license"] < a["license"])), b).otherwise(a))
-    return units, top
+    return low.rlike(any_word(telling)), units, F.array_max(F.transform(F.transform(F.col("units"), vector), best))
 
 
 def directory(path: Column) -> Column:
@@ -103,21 +136,21 @@ def directory(path: Column) -> Column:
 
 
 def scan_headers(files: DataFrame, text_col: str = "text", path_col: str = "path", id_col: str = "doc_id", min_cosine: float = MIN_COSINE) -> DataFrame:
-    """doc_id, path, dir, cosine, notice (null below min_cosine) and is_license_file; one scan."""
+    """doc_id, path, dir, cosine and notice (null below min_cosine) and is_license_file; one scan."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    units, top = notices(F.col("text"))
-    d = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
-    d = d.withColumn("units", F.explode(F.array(F.when(F.col("text").rlike(CUE), units).otherwise(F.array().cast("array<array<string>>")))))
-    n_terms = F.when(F.size("units") > 0, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).otherwise(0)
+    told, units, top = matches(F.col("low"), min_cosine)
+    d = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.explode(F.array(F.lower(text))).alias("low"))
+    none = F.array().cast("array<struct<kind:string,terms:array<string>>>")
+    d = d.withColumn("units", F.explode(F.array(F.when(told, units).otherwise(none))))
+    n_terms = F.when(F.size("units") > 0, F.size(F.regexp_extract_all("low", F.lit(TERM), F.lit(0)))).otherwise(0)
     d = d.select("doc_id", "path", F.explode(F.array(F.struct(top.alias("top"), n_terms.alias("n_terms")))).alias("x"))
-    good = F.col("x.top.cosine") >= min_cosine
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     return d.select(
         *("doc_id", "path"),
         directory(F.col("path")).alias("dir"),
         F.col("x.top.cosine").alias("cosine"),
-        F.when(good, F.col("x.top.license")).alias("notice"),
-        (good & (named | (2 * F.col("x.top.n") >= F.col("x.n_terms")))).alias("is_license_file"),
+        F.col("x.top.license").alias("notice"),
+        (F.col("x.top").isNotNull() & (named | (2 * F.col("x.top.n") >= F.col("x.n_terms")))).alias("is_license_file"),
     )
 
 
@@ -130,13 +163,16 @@ def ancestors(path: Column) -> Column:
 def scan_licenses(files: DataFrame, text_col: str = "text", path_col: str = "path", id_col: str = "doc_id", min_cosine: float = MIN_COSINE) -> DataFrame:
     """doc_id, path, license, cosine, origin (header, inherited or null) and license_dir for every file.
 
-    Only ids, paths and notices are shuffled. Directories are aggregated before they meet, and the last join, on the
-    directory, is one that adaptive execution splits where a directory holds a large share of the files.
+    One scan of the texts; ids, paths and matches are written and used from there. Directories are aggregated before they
+    meet, the descendants of one directory are spread over SPREAD keys, and the last join, on the directory, is one that
+    adaptive execution splits where a directory holds a large share of the files.
     """
-    found = scan_headers(files, text_col, path_col, id_col, min_cosine)
+    found = written(scan_headers(files, text_col, path_col, id_col, min_cosine), "matches")
     declared = found.where("is_license_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "notice")).alias("best")).select(F.col("dir").alias("up"), "best.notice")
+    spread = declared.select("up", "notice", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
     dirs = found.where("dir is not null").select("dir").distinct()
-    near = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("a")).select("dir", "a.up", "a.depth").join(declared, "up")
+    above = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("a"), F.pmod(F.xxhash64("dir"), F.lit(SPREAD)).cast("int").alias("salt"))
+    near = above.select("dir", "a.up", "a.depth", "salt").join(spread, ["up", "salt"])
     resolved = near.groupBy("dir").agg(F.max(F.struct("depth", "up", "notice")).alias("n")).select("dir", F.col("n.up").alias("license_dir"), F.col("n.notice").alias("inherited"))
     own = F.col("notice").isNotNull()
     return found.join(resolved, "dir", "left").select(
@@ -152,33 +188,3 @@ def query(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: source, then language, then id."""
     tree = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     return scan_licenses(docs.select("doc_id", "text", tree.alias("path")))
-
-
-def brute_force(rows: list[tuple[int, str | None, str | None]], min_cosine: float = MIN_COSINE) -> dict[tuple[int, str | None], tuple[str | None, str | None]]:
-    """(license, license_dir) by (id, path), stated plainly, for tests."""
-    idf, other, vectors = template_vectors()
-    notice, declared = {}, {}
-    for i, path, text in rows:
-        text = text or ""
-        best = (0.0, 0, None)
-        for unit in {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), *re.split(r"(?<=[.!?])[ \t\r\n]+", text)}:
-            if re.search(CUE, unit):
-                tf = Counter(re.findall(TERM, unit.lower()))
-                v = {t: (1 + math.log(n)) * idf[t] if t in idf else other for t, n in tf.items()}
-                norm = math.sqrt(sum(w * w for w in v.values()))
-                for name, t in vectors:
-                    c = round(sum(w * t.get(x, 0) for x, w in v.items()) / max(norm, 1e-9), 9)
-                    if c > best[0] or c == best[0] and best[2] and name < best[2]:
-                        best = (c, sum(tf.values()), name)
-        good = best[0] >= min_cosine
-        notice[i, path] = best[2] if good else None
-        if good and path and "/" in path and (re.search(FILE_NAME, path) or 2 * best[1] >= len(re.findall(TERM, text.lower()))):
-            d = path.rsplit("/", 1)[0]
-            declared[d] = min(declared.get(d, (1, "")), (-best[0], best[2]))
-    out = {}
-    for i, path, _ in rows:
-        own, up = notice[i, path], path.rsplit("/", 1)[0] if path and "/" in path else None
-        while own is None and up is not None and up not in declared:
-            up = up.rsplit("/", 1)[0] if "/" in up else None
-        out[i, path] = (own, None) if own or up is None else (declared[up][1], up)
-    return out

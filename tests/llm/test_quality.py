@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -79,8 +80,44 @@ def test_classifier(spark, labels, odd):
     assert quality_mil.fit(documents, labels.limit(0)) == (None, 0.5)
 
 
+def plain_licenses(rows):
+    """(license, license_dir) by (id, path): every unit against every template of its kind, without a filter."""
+    words = lambda t: re.findall("[a-z0-9]+", t)
+    cut = lambda kind, t: words(t.lower())[:60] if kind == "head" else words(t.lower())
+    bags = [(kind, name, Counter(cut(kind, t))) for kind, name, t in license_scan.TEMPLATES]
+    n_of = Counter(w for *_, bag in bags for w in bag)
+    vector = lambda bag, plain=False: {w: (1 if plain and w not in n_of else 1 + np.log(n)) * (1 + np.log(len(bags) / n_of.get(w, 1))) for w, n in bag.items()}
+    length = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    notice, declared = {}, {}
+    for i, path, text in rows:
+        low = (text or "").lower()
+        units = [("whole", words(low)), ("head", words(low)[:60])]
+        units += [("notice", words(u)) for u in {*low.split("\n"), *re.split(r"\n[ \t\r]*\n", low), *re.split(r"(?<=[.!?])[ \t\r\n]+", low)}]
+        found = []
+        for kind, own in units:
+            v = vector(Counter(own), kind == "whole")
+            for at, (k, name, bag) in enumerate(bags):
+                if k == kind and own:
+                    t = vector(bag)
+                    c = sum(x * t.get(w, 0) for w, x in v.items()) / length(v) / length(t)
+                    if c >= 0.75:
+                        found.append((kind != "notice", round(c, 2), -at, c, len(own), name))
+        top = max(found, default=None)
+        notice[i, path] = top and top[5]
+        if top and path and "/" in path and (re.search(license_scan.FILE_NAME, path) or 2 * top[4] >= len(words(low))):
+            d = path.rsplit("/", 1)[0]
+            declared[d] = min(declared.get(d, (1, "")), (-round(top[3], 9), top[5]))
+    out = {}
+    for i, path, _ in rows:
+        own, up = notice[i, path], path.rsplit("/", 1)[0] if path and "/" in path else None
+        while own is None and up is not None and up not in declared:
+            up = up.rsplit("/", 1)[0] if "/" in up else None
+        out[i, path] = (own, None) if own or up is None else (declared[up][1], up)
+    return out
+
+
 def test_licenses(spark, odd):
-    notice = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and associated\ndocumentation files, to deal in the Software without restriction"
+    notice = license_scan.NOTICES[[n for n, _ in license_scan.NOTICES].index("MIT") + 1][1].replace(", ", ",\n")
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\nand many more words here that make this file a long one of text"),
         (2, "a/b/c.py", "code"),
@@ -88,15 +125,45 @@ def test_licenses(spark, odd):
         (4, "a/b/d/e/f.py", None),
         (5, None, "x"),
         (6, "top.py", ""),
-        (7, "z/q.py", f"See\n\n{notice}\n\ncode " + "word " * 60),
+        (7, "z/q.py", f"See\n\n{notice}\n\ncode " + "word " * 160),
         (8, "z/r.py", "code"),
         (9, "y/only.txt", "Licensed under the Apache License, Version 2.0."),
         (10, "y/k/x.py", "the license of this text is unknown to all of us here"),
     ]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string")
     files = files.union(files.limit(3))
-    want = license_scan.brute_force(rows)
+    want = plain_licenses(rows)
     got = license_scan.scan_licenses(files).collect()
     assert len(got) == 13 and all((r.license, r.license_dir) == want[r.doc_id, r.path] for r in got)
     assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: "GPL-3.0", 3: "GPL-3.0", 4: "GPL-3.0", 5: None, 6: None, 7: "MIT", 8: None, 9: "Apache-2.0", 10: "Apache-2.0"}
     assert license_scan.query(odd).count() == odd.count() and license_scan.query(odd.limit(0)).count() == 0
+
+
+def comment(text):
+    words = text.split()
+    return "".join(f" * {' '.join(words[k : k + 9])}\n" for k in range(0, len(words), 9))
+
+
+def test_standard_licence_files(spark):
+    from tallyloom.llm.license_templates import NOTICES, WHOLE
+
+    gnu = {name: text for name, text in NOTICES if "any later version" in text}
+    rows, want = [], {}
+    for k, (name, text) in enumerate(WHOLE):
+        rows.append((k, f"whole{k}/LICENSE", f"Copyright (c) 2019, Some People and Others\n\n{text}\n"))
+        want[k] = name
+    for k, (name, text) in enumerate(gnu.items(), 100):
+        rows.append((k, f"head{k}/x.c", f"/*\n * x.c, a part of y\n * Copyright 2001 Z\n *\n{comment(text)} *\n */\nint main() {{ return {k}; }}\n" + "code();\n" * 80))
+        want[k] = name
+    for k, name in enumerate(("MIT", "Apache-2.0", "GPL-2.0-only", "MPL-2.0"), 200):
+        rows.append((k, f"s{k}/x.c", f"// SPDX-License-Identifier: {name}\nint x;\n"))
+        want[k] = name
+    folder = Path("/usr/share/common-licenses")
+    standard = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    for k, (file, name) in enumerate(standard.items(), 300):
+        if (folder / file).exists():
+            rows.append((k, f"f{k}/LICENSE", (folder / file).read_text()))
+            want[k] = name
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == want
+    assert {(r.doc_id, r.path): (r.license, r.license_dir) for r in got} == plain_licenses(rows)

@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine to licence texts and notices, then inheritance from the nearest ancestor directory.
 
 A whole text is compared with whole licence texts, its first words with the heads of long ones, and each of its lines,
-sentences and paragraphs with notices: terms weigh (1 + ln tf) * idf, idf over all templates, and a term that no template
-has weighs like one in a single template. All of this stays inside the row, as array functions over constants, so texts
+sentences and paragraphs with notices: terms weigh (1 + ln tf) * idf, idf over all templates, function
+words as if all had them, and a term that no template has weighs like one in a single template and counts once. All of this stays inside the row, as array functions over constants, so texts
 are never shuffled. A unit that has none of the telling terms of any template can't reach the least cosine, since what
 is left of every template is shorter than that; texts and units without such a term are passed over, which loses nothing.
 
@@ -31,15 +31,29 @@ from tallyloom.session import written
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 TERM = "[a-z0-9]+"
 MIN_COSINE = 0.75
+#: What is between paragraphs, in comments too, and between sentences.
+BLANK = r"\n[\x20\t\r*#/;%-]*\n"
+SENTENCE = r"(?<=[.!?])[\x20\t\r\n]+"
 #: Terms of a text's head.
 HEAD_TERMS = 60
+#: What one of the many like tags counts for in idf, so that its fixed words don't count as common.
+TAG_SHARE = 1 / 6
 #: Tasks over which one directory's descendants are spread in the join with licence files.
 SPREAD = 16
 
-#: Words that most English texts have; they tell nothing, so they are chosen last.
-EVERYDAY = frozenset(
-    "a about all also an and any are as at be but by can do does first for free from has have if in into is it its may more most must name new no not of on "
-    "one only or other out see shall so take than that the their this to under use was we what which will with without work you your".split()
+#: Function words: they weigh as if all templates had them.
+FUNCTION = frozenset(
+    "a about all also an and any are as at be but by can do does each either even for from has have if in into is it its may more most no not of on one only or other "
+    "our out see shall so such than that the their this through to under unless use used was we what which whether will with without you your".split()
+)
+#: Words that many texts of any kind have, some of them in other languages: they are the last to be chosen as telling.
+EVERYDAY = FUNCTION | frozenset(
+    "above act action advice allowed anyone author authors away basis benefit business c caused change changing charge client code commercial connection copies copy "
+    "counts covered create creates creation damage data deal designed direct distribution document event everyone except extent february file files first floor "
+    "following form forms found free freedom future general goods however http https included including individual information interest international january june "
+    "kind kinds language large later law laws legal library list loss make mean means met mit modify must name names new notice november option org particular "
+    "performance person persons please possible present prior products program promote provide provided public published purpose refer related required resulting "
+    "rights sa sell services share software source special specific street style subject take terms universal v version way work works writing written www".split()
 )
 
 #: (kind, licence, text) of all templates; a kind of unit is compared with templates of that kind.
@@ -49,28 +63,32 @@ TEMPLATES = (*(("whole", *x) for x in WHOLE), *(("head", *x) for x in HEADS), *(
 def template_vectors(templates=TEMPLATES) -> tuple[dict[str, float], float, list[tuple[str, str, dict[str, float]]]]:
     """idf by term, the idf of other terms, and kind, licence and a vector of length 1 of each template."""
     counts = [(kind, name, Counter(re.findall(TERM, text.lower())[: HEAD_TERMS if kind == "head" else None])) for kind, name, text in templates]
-    df = Counter(term for *_, c in counts for term in c)
-    idf = {term: 1 + math.log(len(counts) / n) for term, n in df.items()}
+    shares = [TAG_SHARE if text.startswith("SPDX-") else 1.0 for *_, text in templates]
+    n_all, df = max(1.0, sum(shares)), Counter()
+    for share, (*_, c) in zip(shares, counts, strict=True):
+        df.update(dict.fromkeys(c, share))
+    idf = {term: 1 + (0 if term in FUNCTION else math.log(n_all / n)) for term, n in df.items()}
     vectors = []
     for kind, name, c in counts:
         v = {term: (1 + math.log(n)) * idf[term] for term, n in c.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         vectors.append((kind, name, {term: w / norm for term, w in v.items()}))
-    return idf, 1 + math.log(max(1, len(counts))), vectors
+    return idf, 1 + math.log(n_all), vectors
 
 
-def telling_terms(vectors, min_cosine: float) -> list[str]:
-    """Terms of which every unit that reaches min_cosine has one: of each template so many, everyday words last, that the
-    others together are shorter than min_cosine. Short templates choose first and long ones share their terms."""
-    out: set[str] = set()
-    for _, _, v in sorted(vectors, key=lambda x: (len(x[2]), x[0], x[1])):
-        left = sum(w * w for term, w in v.items() if term not in out)
-        for term in sorted(v.keys() - out, key=lambda t: (t in EVERYDAY or t.isdigit(), -v[t], t)):
+def telling_terms(vectors, min_cosine: float) -> list[list[str]]:
+    """For each template, terms of which every unit that reaches min_cosine with it has one: so many, everyday words last,
+    that the others together are shorter than min_cosine."""
+    out = []
+    for _, _, v in vectors:
+        own, left = [], sum(w * w for w in v.values())
+        for term in sorted(v, key=lambda t: (t in EVERYDAY or t.isdigit(), -v[t], t)):
             if left < min_cosine * min_cosine * (1 - 1e-9):
                 break
-            out.add(term)
+            own.append(term)
             left -= v[term] * v[term]
-    return sorted(out)
+        out.append(own)
+    return out
 
 
 def any_word(words: list[str]) -> str:
@@ -97,37 +115,39 @@ def matches(low: Column, min_cosine: float, templates=TEMPLATES) -> tuple[Column
     idf, other, vectors = template_vectors(templates)
     telling = telling_terms(vectors, min_cosine)
     vocabulary = F.array(*(F.lit(t) for t in sorted(idf)))
-    told = F.array(*(F.lit(t) for t in telling))
+    anything = sorted({t for own in telling for t in own})
+    told = F.array(*map(F.lit, anything))
     terms_of = lambda u: F.regexp_extract_all(u, F.lit(TERM), F.lit(0))
-    parts = F.array_distinct(F.concat(F.split(low, "\n"), F.split(low, r"\n[\x20\t\r]*\n"), F.split(low, r"(?<=[.!?])[\x20\t\r\n]+")))
+    parts = F.array_distinct(F.concat(F.split(low, "\n"), F.split(low, BLANK), F.split(low, f"{SENTENCE}|{BLANK}")))
     every = F.array(F.struct(F.lit("whole").alias("kind"), terms_of(low).alias("terms")), F.struct(F.lit("head").alias("kind"), F.slice(terms_of(low), 1, HEAD_TERMS).alias("terms")))
     units = F.filter(F.concat(every, F.transform(parts, lambda u: F.struct(F.lit("notice").alias("kind"), terms_of(u).alias("terms")))), lambda u: F.arrays_overlap(u["terms"], told))
-    weights = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.lit(name).alias("license"), _map(v).alias("w")) for at, (kind, name, v) in enumerate(vectors)))
+    entry = lambda at, kind, name, v: F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.lit(name).alias("license"), F.array(*map(F.lit, telling[at])).alias("told"), _map(v).alias("w"))
+    weights = F.array(*(entry(at, *vector) for at, vector in enumerate(vectors)))
     idf_of = _map(idf)
 
     def vector(u: Column) -> Column:
         terms = u["terms"]
+        asked = F.filter(weights, lambda t: (t["kind"] == u["kind"]) & F.arrays_overlap(t["told"], terms))
         known = F.transform(
             F.array_intersect(terms, vocabulary),
             lambda x: F.struct(x.alias("term"), ((1 + F.log((F.size(terms) - F.size(F.array_remove(terms, x))).cast("double"))) * F.element_at(idf_of, x)).alias("w")),
         )
-        outside = F.transform(F.array_except(terms, vocabulary), lambda x: other * (1 + F.log((F.size(terms) - F.size(F.array_remove(terms, x))).cast("double"))))
-        rest = F.when(u["kind"] == "whole", F.size(F.array_except(terms, vocabulary)) * other * other).otherwise(F.aggregate(outside, F.lit(0.0), lambda s, w: s + w * w))
-        return F.struct(u["kind"].alias("kind"), known.alias("known"), F.size(terms).alias("n"), rest.alias("rest"))
+        rest = F.size(F.array_except(terms, vocabulary)) * other * other
+        return F.struct(u["kind"].alias("kind"), known.alias("known"), F.size(terms).alias("n"), rest.alias("rest"), asked.alias("asked"))
 
     better = lambda a, b: F.when(a.isNull() | (b > a), b).otherwise(a)
 
     def best(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v["known"], v["rest"].cast("double"), lambda s, k: s + k["w"] * k["w"]))
         cosine = lambda t: F.aggregate(v["known"], F.lit(0.0), lambda s, k: s + k["w"] * F.coalesce(F.try_element_at(t["w"], k["term"]), F.lit(0.0))) / F.greatest(norm, F.lit(1e-9))
-        scores = F.transform(F.filter(weights, lambda t: t["kind"] == v["kind"]), lambda t: F.struct(cosine(t).alias("cosine"), (-t["at"]).alias("place"), t["license"].alias("license")))
+        scores = F.transform(v["asked"], lambda t: F.struct(cosine(t).alias("cosine"), (-t["at"]).alias("place"), t["license"].alias("license")))
         ranked = F.transform(
             F.filter(scores, lambda x: x["cosine"] >= min_cosine),
             lambda x: F.struct((v["kind"] != "notice").alias("file_wide"), F.round(x["cosine"], 2).alias("near"), x["place"].alias("place"), x["cosine"].alias("cosine"), v["n"].alias("n"), x["license"].alias("license")),
         )
         return F.array_max(ranked)
 
-    return low.rlike(any_word(telling)), units, F.array_max(F.transform(F.transform(F.col("units"), vector), best))
+    return low.rlike(any_word(anything)), units, F.array_max(F.transform(F.transform(F.col("units"), vector), best))
 
 
 def directory(path: Column) -> Column:

@@ -85,17 +85,19 @@ def plain_licenses(rows):
     words = lambda t: re.findall("[a-z0-9]+", t)
     cut = lambda kind, t: words(t.lower())[:60] if kind == "head" else words(t.lower())
     bags = [(kind, name, Counter(cut(kind, t))) for kind, name, t in license_scan.TEMPLATES]
-    n_of = Counter(w for *_, bag in bags for w in bag)
-    vector = lambda bag, plain=False: {w: (1 if plain and w not in n_of else 1 + np.log(n)) * (1 + np.log(len(bags) / n_of.get(w, 1))) for w, n in bag.items()}
+    share = [1 / 6 if t.startswith("SPDX") else 1 for *_, t in license_scan.TEMPLATES]
+    n_of = {w: sum(x for x, (*_, bag) in zip(share, bags) if w in bag) for *_, own in bags for w in own}
+    idf = lambda w: 1 if w in license_scan.FUNCTION and w in n_of else 1 + np.log(sum(share) / n_of.get(w, 1))
+    vector = lambda bag: {w: (1 if w not in n_of else 1 + np.log(n)) * idf(w) for w, n in bag.items()}
     length = lambda v: np.sqrt(sum(x * x for x in v.values()))
     notice, declared = {}, {}
     for i, path, text in rows:
         low = (text or "").lower()
         units = [("whole", words(low)), ("head", words(low)[:60])]
-        units += [("notice", words(u)) for u in {*low.split("\n"), *re.split(r"\n[ \t\r]*\n", low), *re.split(r"(?<=[.!?])[ \t\r\n]+", low)}]
+        units += [("notice", words(u)) for u in {*low.split("\n"), *re.split(license_scan.BLANK, low), *re.split(rf"(?<=[.!?])[ \t\r\n]+|{license_scan.BLANK}", low)}]
         found = []
         for kind, own in units:
-            v = vector(Counter(own), kind == "whole")
+            v = vector(Counter(own))
             for at, (k, name, bag) in enumerate(bags):
                 if k == kind and own:
                     t = vector(bag)
@@ -158,6 +160,8 @@ def test_standard_licence_files(spark):
     for k, name in enumerate(("MIT", "Apache-2.0", "GPL-2.0-only", "MPL-2.0"), 200):
         rows.append((k, f"s{k}/x.c", f"// SPDX-License-Identifier: {name}\nint x;\n"))
         want[k] = name
+    rows += [(290, "u/a.c", "// SPDX-License-Identifier: EPL-2.0\nint x;\n"), (291, "u/b.txt", "der Weg\nmit\nuns"), (292, "u/c.txt", "Released under the Foo License.\n")]
+    want |= {290: None, 291: None, 292: None}
     folder = Path("/usr/share/common-licenses")
     standard = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
     for k, (file, name) in enumerate(standard.items(), 300):

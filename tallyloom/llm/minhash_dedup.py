@@ -146,12 +146,13 @@ def _members(keyed: DataFrame) -> DataFrame:
     return written(keyed.join(many, "key"), "members")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Candidates (a < b): every text of a bucket with the bucket's centre."""
-    mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
-    centres = members.join(mass, "node").groupBy("key").agg(F.max_by("node", F.struct("mass", F.bitwise_not("node"))).alias("centre"))
-    led = members.join(centres, "key").where("node <> centre")
-    return led.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _stars(weighed: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (a < b): every text of a bucket with the bucket's centre, unless their weights are too far apart."""
+    mass = weighed.groupBy("node").agg(F.sum("n").alias("mass"))
+    centre = F.max_by(F.struct("node", "w"), F.struct("mass", F.bitwise_not("node")))
+    led = weighed.join(weighed.join(mass, "node").groupBy("key").agg(centre.alias("c")), "key")
+    led = led.where((F.col("node") != F.col("c.node")) & (F.least("w", "c.w") >= threshold * (1 - 1e-9) * F.greatest("w", "c.w")))
+    return led.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -> DataFrame:
@@ -203,7 +204,7 @@ def _first_of_equals(rows: DataFrame) -> DataFrame:
     return held.groupBy("n", "k1", "k2").agg(F.min_by("e", place).alias("e")).select("e")
 
 
-def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _remaining_links(weighed: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """All verified links between texts of one bucket that `links` don't put into one class already."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,7 @@ def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame, thre
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], e, pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["node", "c", "w", "e", "rest"])
 
     named = components(links.select("a", "b"))
-    placed = written(members.where("n > 2").select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")).join(sets.select("node", "w"), "node"), "placed")
+    placed = written(weighed.where("n > 2").join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "w"), "placed")
     undecided = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("w").alias("lightest")).where("x <> y").select("key", "lightest")
     texts = placed.join(undecided, "key").groupBy("node", "c", "w").agg(F.min("lightest").alias("lightest"))
     with batch_bytes(sets.sparkSession, BATCH):
@@ -246,8 +247,9 @@ def similar_links(texts: DataFrame, own: DataFrame, steps, threshold: float) ->
     found = narrowed(own, involved, key).join(involved, key).dropDuplicates(["node"]).select("node", "text")
     with batch_bytes(own.sparkSession, BATCH):
         sets = written(found.mapInArrow(make_sets, "node long, w double, set binary"), "sets")
-    links = _verified(_stars(members), sets, threshold, "links")
-    return links.union(_remaining_links(members, links, sets, threshold))
+    weighed = written(members.join(sets.select("node", "w"), "node"), "weighed")
+    links = _verified(_stars(weighed, threshold), sets, threshold, "links")
+    return links.union(_remaining_links(weighed, links, sets, threshold))
 
 
 def _own_id(id_col: str, text):

@@ -7,7 +7,8 @@ alignment that could reach the score, so common phrases cost little and an edite
 The score of the best local alignment over that of a perfect copy says how much of the item is there, edits and gaps
 included. A copy that has no three words of the item in a row has no seed.
 
-The test set is broadcast in blocks of a bounded size, all documents against each block; documents aren't shuffled.
+The test set is broadcast in blocks of a bounded size, all documents against each block; a task holds one block, and
+documents aren't shuffled. So a test set costs two scans of the documents for every BLOCK_BYTES of it.
 
 Defined results: words are compared in lower case without punctuation; items of fewer than MIN_ITEM_WORDS such words
 and null items match nothing; a null text has no words; null ids pass through; repeated rows each get their results;
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.shared import ship, worker_cache
 from tallyloom.llm.shingles import gram_hashes, words_of
+from tallyloom.session import written
 
 SEED_WORDS = 3
 MIN_ITEM_WORDS = 5
@@ -203,27 +205,36 @@ FOUND = "doc_id long, item_id long, score double, first_word long, end_word long
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", bench_text_col: str = "text", bench_id_col: str = "item_id", min_score: float = MIN_SCORE) -> DataFrame:
     """A row for each document and test item found in it: score (1 for a whole copy) and its words in the document."""
-    blocks = prepared(docs, benchmark, text_col, bench_text_col, bench_id_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for block in prepared(docs, benchmark, text_col, bench_text_col, bench_id_col):
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i.as_py(), *m) for i, t in zip(*batch.columns, strict=True) for block in blocks for m in block.value.matches(t.as_py(), min_score)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(i.as_py(), *m) for i, t in zip(*batch.columns, strict=True) for m in block.value.matches(t.as_py(), min_score)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, FOUND)
+        found = own.mapInArrow(scan, FOUND)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows in which a test item is found; the columns of docs, no shuffle."""
+    """docs without the rows in which a test item is found; the columns of docs, no shuffle. Rows that one block leaves
+    are written before the next block, so that a task never holds two."""
     blocks = prepared(docs, benchmark, text_col, "text", "item_id")
+    for k, block in enumerate(blocks):
 
-    @F.udf(T.BooleanType(), useArrow=True)
-    def clean(text):
-        return not any(block.value.matches(text, min_score) for block in blocks)
+        @F.udf(T.BooleanType(), useArrow=True)
+        def clean(text, block=block):
+            return not block.value.matches(text, min_score)
 
-    return docs.where(clean(F.col(text_col).cast("string")))
+        docs = docs.where(clean(F.col(text_col).cast("string")))
+        if k + 1 < len(blocks):
+            docs = written(docs, "clean-of-block")
+    return docs
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

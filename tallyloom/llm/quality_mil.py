@@ -3,10 +3,11 @@
 A text is a bag of passages of 64 words. Each passage is encoded: shares of hashed word shapes and of a few
 statistics go through a learned layer. Gated attention (Ilse, Tomczak, Welling 2018) weighs the passages, and the
 weighted sum is scored. Encoder, attention and score are learned together from labels of whole documents, with Adam
-over numpy arrays on the driver, from a bounded sample of labelled rows; scoring is one scan.
+over numpy arrays on the driver, from a bounded sample of labelled rows; scoring is one scan. What a passage is judged by
+is the form of its words, their lengths, marks and repetition; which words they are plays no part.
 
 Defined results: a null or empty text is one passage without words and gets a score like any other; null ids pass
-through; rows that share an id each get their score; without labels of both kinds every score is their mean (0.5
+through; rows that share an id each get their score, and the first in order of their passages is learned from; without labels of both kinds every score is their mean (0.5
 without labels). Labels are used from rows whose crc32 of the id, mod 3, isn't 1; language, source and id are no inputs.
 """
 
@@ -22,13 +23,17 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import ship, worker_cache
 from tallyloom.llm.shingles import word_hashes, words_of
+from tallyloom.session import written
 
 PASSAGE_WORDS = 64
 SHAPES = 192
 STATS = 8
-#: Labelled documents to learn from at most, and passages of one of them: longer texts are not drawn.
+#: Labelled documents to learn from at most, passages of one of them (longer texts are not drawn), and passages in all.
 MAX_TRAIN_DOCS = 4_000
-MAX_TRAIN_PASSAGES = 1_000
+MAX_BAG = 1_000
+MAX_TRAIN_PASSAGES = 200_000
+#: Passages that are scored at once.
+SCORE_PASSAGES = 8_192
 MEMO_ENTRIES = 400_000
 
 
@@ -158,8 +163,9 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_train_docs: int = MAX_TRAIN_DOCS) -> tuple[Model | None, float]:
-    """The model and the mean label. The sample: labelled rows not held out, of the lowest id hash; broadcast and collected."""
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_train_docs: int = MAX_TRAIN_DOCS, max_bag: int = MAX_BAG, max_train_passages: int = MAX_TRAIN_PASSAGES) -> tuple[Model | None, float]:
+    """The model and the mean label. The sample: labelled rows not held out, of the lowest id hash; broadcast, and collected
+    as far as max_train_passages go."""
     ship(docs.sparkSession)
     sample = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(id_col))
@@ -174,14 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             keys, names, bags = [], [], []
             for key, label, text in zip(*batch.columns, strict=True):
                 x = passages(text.as_py())
-                if len(x) <= MAX_TRAIN_PASSAGES:
+                if len(x) <= max_bag:
                     keys.append(key.as_py())
                     names.append(label.as_py())
                     bags.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int32()), pa.array(bags, pa.binary())], names=["key", "label", "bag"])
 
-    picked = own.join(F.broadcast(sample), "label_id").select("key", "label", "text").mapInArrow(featurize, "key long, label int, bag binary")
-    rows = sorted(((r["key"], r["label"], bytes(r["bag"])) for r in picked.collect()))
+    featurized = own.join(F.broadcast(sample), "label_id").select("key", "label", "text").mapInArrow(featurize, "key long, label int, bag binary")
+    picked = written(featurized.groupBy("key", "label").agg(F.min("bag").alias("bag")), "bags")
+    held, chosen = 0, []
+    for r in picked.select("key", "label", F.octet_length("bag").alias("n")).orderBy("key", "label").collect():
+        held += r["n"] // (2 * (SHAPES + STATS))
+        if held > max_train_passages:
+            break
+        chosen.append(r["key"])
+    last = max(chosen, default=None)
+    rows = sorted((r["key"], r["label"], bytes(r["bag"])) for r in picked.where(F.col("key") <= F.lit(last)).collect()) if chosen else []
     y = np.array([r[1] for r in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return None, float(y.mean()) if len(y) else 0.5
@@ -198,12 +212,19 @@ def score(docs: DataFrame, model: Model | None, prior: float = 0.5, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for text in batch.column(2):
+            scores: list[float] = []
+            bags: list[np.ndarray] = []
+            held = 0
+            for k, text in enumerate(batch.column(2)):
                 if model is None:
                     scores.append(prior)
-                else:
-                    scores.append(float(model.forward(passages(text.as_py()), np.array([0]))[0][0]))
+                    continue
+                bags.append(passages(text.as_py()))
+                held += len(bags[-1])
+                if held >= SCORE_PASSAGES or k + 1 == batch.num_rows:
+                    starts = np.cumsum([0, *map(len, bags[:-1])])
+                    scores += model.forward(np.concatenate(bags), starts)[0].tolist()
+                    bags, held = [], 0
             values = np.array(scores, dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

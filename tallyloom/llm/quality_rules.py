@@ -6,7 +6,7 @@ gain, pruned on rows that it was not grown on, and kept while it is precise ther
 sample. The list becomes one `CASE WHEN` column, so that scoring is a scan without Python.
 
 Defined results: a null text has no words; a text without words fails the base rules; null and repeated ids are of no
-concern to scoring, and a labelled id that occurs several times counts each time; without labels of both kinds the
+concern to scoring, and a label whose id several documents have counts once, with the least of their statistics; without labels of both kinds the
 list is empty and keeps all that passes the base rules; other columns of any name pass through `keep_good`.
 """
 
@@ -212,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, text_c
     own = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text"))
     train = text_stats(own.join(F.broadcast(sample), "label_id"))
     picked = train.select(*(F.col("stats")[f].cast("double").alias(f) for f in FEATURES), F.col("row.label_quality").alias("label"), F.col("row.label_key").alias("key"), base_failed().alias("failed"))
-    rows = [({f: r[f] for f in FEATURES}, r["label"], r["key"] % 3 == 0) for r in picked.where(~F.col("failed")).limit(2 * max_train_rows).collect()]
+    once = picked.where(~F.col("failed")).groupBy("key", "label").agg(F.min(F.struct(*FEATURES)).alias("s"))
+    rows = [({f: r["s"][f] for f in FEATURES}, r["label"], r["key"] % 3 == 0) for r in once.collect()]
     return learn_rules(rows, **how)
 
 

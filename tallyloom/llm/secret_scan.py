@@ -187,7 +187,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", max_ratio: float = 2
 def query(docs: DataFrame) -> DataFrame:
     """The digest columns of op1."""
     found = secret_spans(docs)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
 def brute_spans(text: str) -> str:

@@ -10,24 +10,26 @@ and any store that Spark writes will do. Its small columns are the chunk index (
 sizes of planes); a reader of the index never touches the planes, and each chunk can be read without another.
 
 Defined results: a null text counts as an empty one and gets the end id alone; null ids come first; rows that share an
-id stay neighbours, ordered by text; other columns are not read. A document is never cut: one longer than a chunk
+id stay neighbours, ordered by a hash of the text, so that they needn't meet in one task; other columns are not read. A document is never cut: one longer than a chunk
 makes a longer chunk.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,7 +155,25 @@ class _WordIds(dict):
         return tuple(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
 
 
+#: The rules of a tokenizer file under which a text's ids are those of its words.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(raw: bytes) -> bool:
+    """Whether a tokenizer file lowers case, turns white space into breaks and merges byte letters, as _WordIds takes for granted."""
+    rules = json.loads(raw)
+    split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    cut = [p["pattern"].get("Regex") for p in split if p["type"] == "Split"] == [PIECES] and [p["type"] for p in split] == ["Split", "ByteLevel"]
+    return cut and (rules.get("normalizer") or {}).get("normalizers") == NORMALIZER and rules["model"]["type"] == "BPE"
+
+
 def _encoder(raw: bytes):
+    if not worker_cache(("by_words", len(raw), hash(raw)), lambda: by_words(raw)):
+        from tokenizers import Tokenizer
+
+        whole = worker_cache(("tokenizer", len(raw), hash(raw)), lambda: Tokenizer.from_str(raw.decode("utf-8")), large=True)
+        return lambda text: np.array([*whole.encode(text, add_special_tokens=False).ids, END_ID], dtype="<u4")
     words = worker_cache(("word_ids", len(raw), hash(raw)), lambda: _WordIds(raw), large=True)
 
     def encode(text: str) -> np.ndarray:
@@ -196,8 +216,8 @@ def write_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
         if parts:
             yield closed()
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     dealt.mapInArrow(pack, CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
     index = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").drop("planes")
     index.write.parquet(f"{path}/index")
@@ -213,8 +233,10 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 READ = "shard int, doc_id long, at long, n_tokens long, ids array<long>, ids_crc32 long"
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids (where asked for) and ids_crc32 of every document, decoded from the chunks."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids (where asked for) and ids_crc32 of every document, decoded from the chunks.
+
+    With doc_ids only the chunks that hold one of them, by the index, are read and decoded."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +255,16 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "at", "n_tokens", "ids", "ids_crc32"])
 
-    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").drop("chunk", "plane_bytes")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    if doc_ids is not None:
+        asked = F.array(*map(F.lit, doc_ids)).cast("array<long>")
+        held = spark.read.parquet(f"{path}/index").where(F.arrays_overlap("doc_ids", asked)).select("shard", "chunk").collect()
+        here = [(F.col("shard") == r["shard"]) & (F.col("chunk") == r["chunk"]) for r in held]
+        chunks = chunks.where(reduce(Column.__or__, here, F.lit(False)))
+    chunks = chunks.drop("chunk", "plane_bytes")
     out = chunks.mapInArrow(unpack, READ).join(shard_starts(spark, path), "shard")
+    if doc_ids is not None:
+        out = out.where(F.col("doc_id").isin(doc_ids))
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", *["ids"] * with_ids, "ids_crc32")
 
 

@@ -200,6 +200,29 @@ def test_leaks(spark, documents, benchmark):
     assert decontaminate.query(docs, bench.limit(0)).count() == 0 and decontaminate.query(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_against_every_alignment(spark, benchmark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 4 = 0 or n_chars < 900")
+    items = [(r.item_id, decontaminate.plain_hashes(r.text)[0]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    want = set()
+    for r in documents.collect():
+        h = decontaminate.plain_hashes(r.text)[0]
+        have = set(h.tolist())
+        for i, words in items:
+            if len(words) >= decontaminate.MIN_ITEM_WORDS and sum(w in have for w in words.tolist()) >= 0.5 * len(words):
+                if decontaminate.align(words, h)[0] >= decontaminate.MIN_SCORE * decontaminate.MATCH * len(words):
+                    want.add((r.doc_id, i))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.query(documents, spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")).collect()}
+    assert want and found == want
+
+
+def test_blocks_of_the_test_set(spark, documents, benchmark, monkeypatch):
+    whole = sorted(map(tuple, decontaminate.query(documents, benchmark).collect()))
+    left = {r.doc_id for r in decontaminate.drop_contaminated(documents, benchmark).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2_000)
+    assert sorted(map(tuple, decontaminate.query(documents, benchmark).collect())) == whole
+    assert {r.doc_id for r in decontaminate.drop_contaminated(documents, benchmark).collect()} == left
+
+
 def test_edited_leaks(spark):
     item = [f"w{j}" for j in range(20)]
     copies = {n: [f"new{n}" if j % n == n - 1 else x for j, x in enumerate(item)] for n in (4, 5, 6)}

@@ -1,5 +1,7 @@
 """Secret scans, token stores, byte-level BPE and rollups against plain versions."""
 
+import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -76,14 +78,43 @@ def test_token_store(spark, odd, tmp_path, kind, monkeypatch):
     path = f"file://{tmp_path}/{kind}"
     token_store.write_tokens(odd, path, kind=kind)
     rows = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r.start)
-    want = sorted(texts_of(odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter((i, tuple(TOKENIZER.encode(t, add_special_tokens=False).ids + [1])) for i, t in texts_of(odd))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i or 0))
     at = 0
-    assert len(rows) == len(want)
-    for r, (i, t) in zip(rows, want):
-        ids = TOKENIZER.encode(t, add_special_tokens=False).ids + [1]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids) == (i, at, len(ids), ids)
-        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-        at += len(ids)
+    for r in rows:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+        at += len(r.ids)
+    few = token_store.read_tokens(spark, path, doc_ids=[903, 5, 77777]).collect()
+    assert sorted(map(tuple, few)) == sorted(tuple(r) for r in rows if r.doc_id in (903, 5))
+
+
+def test_token_store_query(spark, odd, documents):
+    for frame in (documents, odd.limit(0)):
+        rows = {r.doc_id: r for r in token_store.query(frame).collect()}
+        at = 0
+        for i, t in sorted(texts_of(frame)):
+            ids = TOKENIZER.encode(t, add_special_tokens=False).ids + [1]
+            assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+        assert len(rows) == frame.count()
+
+
+def test_other_tokenizer_files_encode_whole_texts():
+    other = open(vocabulary_path("byte_bpe_50k.json"), "rb").read()
+    assert token_store.by_words(WORDS) and not token_store.by_words(other)
+    text = "Two  words\n and a Third"
+    assert token_store._encoder(other)(text).tolist() == Tokenizer.from_str(other.decode()).encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_round_trip_digests(spark, odd):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter((i, len(ids := LIBRARY.encode_ordinary(t)), sha(" ".join(map(str, ids)).encode()), sha(t.encode())) for i, t in texts_of(odd))
+    assert Counter(tuple(r) for r in byte_bpe.round_trip(odd).collect()) == want
+
+
+# The patterns as the contract states them, and the least lengths.
+PLAIN = ((r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), (r"AKIA[A-Z0-9]+", 20), (r"[0-9a-f]+", 24))
 
 
 def test_secret_spans(spark, odd):
@@ -92,7 +123,13 @@ def test_secret_spans(spark, odd):
     assert Counter((r.doc_id, r.base_spans) for r in rows) == Counter((i, secret_scan.brute_spans(t)) for i, t in texts_of(odd))
     mine = next(r for r in rows if r.doc_id == 907)
     assert (mine.n_assign, mine.n_access, mine.n_hex, mine.n_random) == (1, 1, 1, 1)
-    query = {(r.doc_id, r.base_sha256) for r in secret_scan.query(odd).collect()}
+    found = secret_scan.query(odd)
+    assert found.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] and secret_scan.query(odd.limit(0)).count() == 0
+    for r, t in ((r, t) for r in found.collect() for i, t in texts_of(odd) if i == r.doc_id is not None and [x for x, _ in texts_of(odd)].count(i) == 1):
+        spans = [(m.start(), k, m.end()) for k, (p, n) in enumerate(PLAIN) for m in re.finditer(p, t) if len(m[m.lastindex or 0]) >= n]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert r.base_sha256 == secret_scan.sha256(base)
+    query = {(r.doc_id, r.base_sha256) for r in found.collect()}
     assert query == {(i, secret_scan.sha256(secret_scan.brute_spans(t))) for i, t in texts_of(odd)}
 
 

@@ -30,7 +30,10 @@ def test_rules_separate_and_columns_pass(spark, odd):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rules = quality_rules.fit(documents, labels)
-    assert rules
+    assert rules and quality_rules.fit(documents.union(documents), labels) == rules
+    learned = quality_rules.fit(documents, labels.where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    left = [(r.kept, r.quality) for r in quality_rules.judge(documents, learned).selectExpr("row.doc_id", "kept").join(labels.where("crc32(cast(doc_id as string)) % 3 = 1"), "doc_id").collect()]
+    assert len(left) > 100 and sum(k == (q == 1) for k, q in left) > 0.97 * len(left)
     kept = {r.doc_id for r in quality_rules.keep_good(documents, labels).collect()}
     marks = {r.doc_id: r.quality for r in labels.collect()}
     good = [i for i in marks if marks[i] == 1]
@@ -78,6 +81,12 @@ def test_classifier(spark, labels, odd):
     out = quality_mil.score(odd, model, prior).collect()
     assert len(out) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
     assert quality_mil.fit(documents, labels.limit(0)) == (None, 0.5)
+    assert quality_mil.score(odd.limit(0), model, prior).count() == 0
+    alone = {r.doc_id: r.score for r in quality_mil.score(documents.repartition(3), model, prior).collect()}
+    texts = {r.doc_id: r.text for r in documents.limit(40).collect()}
+    assert all(abs(alone[i] - model.forward(quality_mil.passages(t), np.array([0]))[0][0]) < 1e-5 for i, t in texts.items())
+    few = quality_mil.fit(documents.union(documents), labels, max_train_passages=150)[0]
+    assert few is not None and any((few.p[k] != model.p[k]).any() for k in few.p)
 
 
 def plain_licenses(rows):

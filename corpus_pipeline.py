@@ -2,6 +2,9 @@
 
 Each stage takes all that the one before it kept and returns the columns of documents, but for the last, which returns
 ids. run() writes every stage to the shared folder and reads it again, so a lost executor costs a stage at most.
+
+Defined results, for all stages: an empty table gives an empty one; other columns of any name pass through all stages but
+the last; null ids and null texts are as stated below; repeated rows are told apart only by near_duplicates.
 """
 
 from __future__ import annotations
@@ -15,27 +18,30 @@ from tallyloom.session import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep."""
+    """Documents that the base rules and the learned decision list keep. A null or empty text has no words and goes; null and
+    repeated ids don't matter; ties in learning go to the rule that sorts first."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates."""
+    """The document of the least id of each class of near duplicates; of rows that share that id, the one of the least
+    hash. Texts without words are one class; a null id counts as a hash of its text."""
     return minhash_dedup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. A null or empty text holds none; rows are judged one by one."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with marks for secrets; n_chars follows the text."""
-    return secret_scan.redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """All documents, with marks for secrets; n_chars, where it is a column, follows the text. A null text stays null."""
+    clean = secret_scan.redact_secrets(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of all documents."""
+    """doc_id, n_tokens and ids of all documents; a null or empty text has no ids, null ids pass through."""
     return byte_bpe.encode_documents(docs)
 
 

@@ -7,7 +7,7 @@ import xxhash
 
 from tallyloom.llm.shared import worker_cache
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)

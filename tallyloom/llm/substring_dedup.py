@@ -45,12 +45,11 @@ PARSED = "doc_id long, seq_a long, seq_b long, text string, starts array<int>, w
 PARSED_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))]
 )
-RUNS = "seq_a long, seq_b long, runs array<struct<start:int,n:int,ref:long,ref_a:long,ref_b:long,at:int>>"
-BLOCKS = "ref_a long, ref_b long, block int, words binary"
+RUNS = "t long, runs array<struct<start:int,n:int,ref:long,ref_t:long,at:int>>"
+BLOCKS = "ref_t long, block int, words binary"
 FACTORED = "seq_a long, seq_b long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref:long,at:int>>"
-_PLACE = [("ref", pa.int64()), ("ref_a", pa.int64()), ("ref_b", pa.int64()), ("at", pa.int32())]
-RUNS_ARROW = pa.schema([("seq_a", pa.int64()), ("seq_b", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), *_PLACE])))])
-BLOCKS_ARROW = pa.schema([("ref_a", pa.int64()), ("ref_b", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
+RUNS_ARROW = pa.schema([("t", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("ref", pa.int64()), ("ref_t", pa.int64()), ("at", pa.int32())])))])
+BLOCKS_ARROW = pa.schema([("ref_t", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
 FACTORED_ARROW = pa.schema(
     [("seq_a", pa.int64()), ("seq_b", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref", pa.int64()), ("at", pa.int32())])))]
 )
@@ -100,7 +99,7 @@ def runs_of(found: list[dict]) -> list[dict]:
     runs: list[dict] = []
     for m in sorted(found, key=lambda m: m["start"]):
         last = runs[-1] if runs else None
-        if last and (last["ref"], last["ref_a"], last["ref_b"]) == (m["ref"], m["ref_a"], m["ref_b"]) and m["start"] - last["start"] == m["at"] - last["at"] == last["n"]:
+        if last and last["ref_t"] == m["ref_t"] and m["start"] - last["start"] == m["at"] - last["at"] == last["n"]:
             last["n"] += 1
         else:
             runs.append(m | {"n": 1})
@@ -109,16 +108,16 @@ def runs_of(found: list[dict]) -> list[dict]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _batch([(a.as_py(), b.as_py(), runs_of(found.as_py())) for a, b, found in zip(*batch.columns, strict=True)], RUNS_ARROW)
+        yield _batch([(t.as_py(), runs_of(found.as_py())) for t, found in zip(*batch.columns, strict=True)], RUNS_ARROW)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked blocks of reference texts."""
     for batch in batches:
         rows = []
-        for a, b, text, asked in zip(*batch.columns, strict=True):
+        for t, text, asked in zip(*batch.columns, strict=True):
             words = words_of(text.as_py())
-            rows += [(a.as_py(), b.as_py(), k, b" ".join(words[k * BLOCK : (k + 1) * BLOCK])) for k in asked.as_py()]
+            rows += [(t.as_py(), k, b" ".join(words[k * BLOCK : (k + 1) * BLOCK])) for k in asked.as_py()]
         yield _batch(rows, BLOCKS_ARROW)
 
 
@@ -136,12 +135,12 @@ def common_length(words: list[bytes], start: int, blocks: dict[int, list[bytes]]
     return n
 
 
-def parse(words: list[bytes], runs: list[dict], blocks: dict[tuple[int, int], dict[int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
+def parse(words: list[bytes], runs: list[dict], blocks: dict[int, dict[int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
     """Greedy factors (start, length, reference, place in it) of 50 words or more; blocks by reference text and number."""
     factors: list[tuple[int, int, int, int]] = []
     free = 0
     for run in sorted(runs, key=lambda r: r["start"]):
-        own = blocks.get((run["ref_a"], run["ref_b"]), {})
+        own = blocks.get(run["ref_t"], {})
         start = max(run["start"], free)
         while start < run["start"] + run["n"]:
             at = run["at"] + start - run["start"]
@@ -159,9 +158,9 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, b, text, runs, supplied in zip(*batch.columns, strict=True):
             words = words_of(text.as_py())
-            blocks: dict[tuple[int, int], dict[int, list[bytes]]] = {}
+            blocks: dict[int, dict[int, list[bytes]]] = {}
             for x in supplied.as_py():
-                blocks.setdefault((x["ref_a"], x["ref_b"]), {})[x["block"]] = x["words"].split(b" ")
+                blocks.setdefault(x["ref_t"], {})[x["block"]] = x["words"].split(b" ")
             factors = parse(words, runs.as_py(), blocks)
             gone = np.zeros(len(words) + 1, dtype=np.int64)
             for start, length, _, _ in factors:
@@ -198,20 +197,24 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     key = ["doc_id", "text_key"]
     wanted = written(wanted, "wanted")
     chosen = narrowed(own, wanted, key).join(wanted, key).dropDuplicates(key)
-    parsed = written(chosen.select("doc_id", *seq, "text", "anchors").mapInArrow(_windows, PARSED), "parsed")
-    spread = parsed.select("doc_id", *seq, F.explode(F.arrays_zip("starts", "windows", "marks")).alias("w")).select("doc_id", *seq, F.col("w.starts").alias("start"), "w.windows", "w.marks")
-    place = F.struct("doc_id", *seq, "start")
-    index = spread.groupBy("marks", "windows").agg(F.min(place).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").drop("last")
-    match = F.struct("start", F.col("ref.doc_id").alias("ref"), F.col("ref.seq_a").alias("ref_a"), F.col("ref.seq_b").alias("ref_b"), F.col("ref.start").alias("at"))
-    matches = spread.join(index, ["marks", "windows"]).where("ref.doc_id < doc_id").groupBy(*seq).agg(F.collect_list(match).alias("found"))
+    # t names a text; it is stored, so it stays the same however often the table is read.
+    parsed = written(chosen.select("doc_id", *seq, "text", "anchors").mapInArrow(_windows, PARSED).withColumn("t", F.monotonically_increasing_id()), "parsed")
+    spread = parsed.select("doc_id", "t", F.explode(F.arrays_zip("starts", "windows", "marks")).alias("w")).select("doc_id", "t", F.col("w.starts").alias("start"), "w.windows", "w.marks")
+    window = ["marks", "windows"]
+    index = spread.groupBy(*window).agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last").drop("last")
+    repeated = written(spread.join(index, window), "repeated")
+    first = repeated.where("doc_id = ref").groupBy(*window).agg(F.min(F.struct("t", "start")).alias("place"))
+    match = F.struct("start", "ref", F.col("place.t").alias("ref_t"), F.col("place.start").alias("at"))
+    matches = repeated.where("ref < doc_id").join(first, window).groupBy("t").agg(F.collect_list(match).alias("found"))
     runs = written(matches.mapInArrow(_runs, RUNS), "runs")
     numbers = F.sequence(F.floor(F.col("r.at") / BLOCK).cast("int"), F.floor((F.col("r.at") + F.col("r.n") + (WINDOW - 2)) / BLOCK).cast("int"))
-    asked = written(runs.select(*seq, F.explode("runs").alias("r")).select(*seq, "r.ref_a", "r.ref_b", F.explode(numbers).alias("block")).distinct(), "asked")
-    by_text = asked.select("ref_a", "ref_b", "block").distinct().groupBy("ref_a", "ref_b").agg(F.collect_list("block").alias("blocks"))
-    texts_of = parsed.select(F.col("seq_a").alias("ref_a"), F.col("seq_b").alias("ref_b"), "text").join(by_text, ["ref_a", "ref_b"])
-    blocks = texts_of.select("ref_a", "ref_b", "text", "blocks").mapInArrow(_blocks, BLOCKS)
-    supplied = asked.join(blocks, ["ref_a", "ref_b", "block"]).groupBy(*seq).agg(F.collect_list(F.struct("ref_a", "ref_b", "block", "words")).alias("supplied"))
-    factored = parsed.select(*seq, "text").join(runs, seq).join(supplied, seq).select(*seq, "text", "runs", "supplied").mapInArrow(_factor, FACTORED)
+    asked = written(runs.select("t", F.explode("runs").alias("r")).select("t", "r.ref_t", F.explode(numbers).alias("block")).distinct(), "asked")
+    by_text = asked.select("ref_t", "block").distinct().groupBy("ref_t").agg(F.collect_list("block").alias("blocks"))
+    texts_of = parsed.select(F.col("t").alias("ref_t"), "text")
+    blocks = narrowed(texts_of, asked, ["ref_t"]).join(by_text, "ref_t").select("ref_t", "text", "blocks").mapInArrow(_blocks, BLOCKS)
+    supplied = asked.join(blocks, ["ref_t", "block"]).groupBy("t").agg(F.collect_list(F.struct("ref_t", "block", "words")).alias("supplied"))
+    matched = narrowed(parsed.select("t", *seq, "text"), runs, ["t"]).join(runs, "t").join(supplied, "t")
+    factored = matched.select(*seq, "text", "runs", "supplied").mapInArrow(_factor, FACTORED)
     known = least.join(factored, seq, "left")
     copy = (F.col("doc_id") > F.col("rep_id")) & (F.col("n_words") >= WINDOW)
     parsed_one = (F.col("doc_id") == F.col("rep_id")) & F.col("n_removed").isNotNull()

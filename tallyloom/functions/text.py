@@ -18,9 +18,33 @@ CREATOR_STOP = ("and", "with", "the")
 TOKEN_STOP = ("and", "the", "with", "studios", "studio", "games", "productions", "company")
 
 
+#: Blocks of letters with compatibility forms: Latin, super- and subscripts, letter-like, circled, ligatures, full width.
+_BLOCKS = ((0x00A1, 0x0250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2150), (0x2150, 0x2190), (0x2460, 0x2500), (0xFB00, 0xFB07), (0xFF01, 0xFFE7))
+
+
+def _fold(text: str | None) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+    return plain.casefold()
+
+
+def _forms() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold into one other, what they fold into, and those that fold into several."""
+    folds = {c: f for a, b in _BLOCKS for c in map(chr, range(a, b)) if (f := _fold(c)) != c and f}
+    one = {c: f for c, f in folds.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+_ONE, _ONE_FOLDED, _SEVERAL = _forms()
+
+
 def folded(text: Column) -> Column:
-    """Lower case without Latin accents; JVM-side."""
-    return F.replace(F.translate(F.lower(text), ACCENTED, BASE), F.lit("ß"), F.lit("ss"))
+    """Lower case, without marks, in compatibility form for the blocks above; JVM-side."""
+    x = F.translate(F.lower(text), _ONE, _ONE_FOLDED)
+    apart = x
+    for char, fold in _SEVERAL.items():
+        apart = F.replace(apart, F.lit(char), F.lit(fold))
+    x = F.when(x.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(x)
+    return F.when(x.rlike(r"\p{Mn}"), F.regexp_replace(x, r"\p{Mn}+", "")).otherwise(x)
 
 
 def normalize(text: Column, half: bool = True, ampersand: str = "before", articles: bool = True) -> Column:
@@ -41,11 +65,6 @@ def normalize(text: Column, half: bool = True, ampersand: str = "before", articl
     return F.trim(F.regexp_replace(x, f"^({ARTICLES}) ", "")) if articles else x
 
 
-def _fold(text: str | None) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
-    return plain.casefold()
-
-
 @F.udf(T.StringType(), useArrow=True)
 def folded_full(text):
     """Compatibility decomposition, no combining marks, case folded: for scripts that `folded` doesn't know."""
@@ -82,6 +101,7 @@ def creator_tokens(name: Column, least: int = 4, stop: tuple[str, ...] = TOKEN_S
     return F.array_distinct(F.filter(F.split(normalize(name, articles=False), " "), lambda w: (F.length(w) >= least) & ~w.isin(*stop)))
 
 
+# Fixed value: how a season or series is written at the end of a title.
 SEASON = r"(?i)\s*[:,-]?\s*(season|series)\s+(\d+|one|two|three|four|five|six|seven|eight|nine|ten)\s*$"
 
 
@@ -116,7 +136,7 @@ def csv_cell(text: Column) -> Column:
 
 def escape_html(text: Column) -> Column:
     x = text
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         x = F.replace(x, F.lit(char), F.lit(name))
     return x
 

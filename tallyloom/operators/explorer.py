@@ -29,7 +29,7 @@ class Field:
         elif self.kind == "percent":
             text = F.concat(F.format_string("%.1f", c.cast("double") * 100), F.lit("%"))
         elif self.kind == "agent":
-            text = F.lpad(c.cast("string"), 3, "0")
+            text = F.lpad(c.cast("string"), F.greatest(F.lit(3), F.length(c.cast("string"))), F.lit("0"))
         elif self.kind == "category":
             text = F.replace(c.cast("string"), F.lit("_"), F.lit(" "))
         else:
@@ -81,7 +81,9 @@ class ExplorerQuery:
         for key, value in self.equals:
             rows = rows.where(F.col(key) == F.lit(value))
         if self.search.split():
-            rows = rows.where(has_tokens(F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in self.search_columns))), self.search))
+            fields = {f.key: f for f in self.fields}
+            seen = (fields[c].shown() if c in fields else F.col(c).cast("string") for c in self.search_columns)
+            rows = rows.where(has_tokens(F.lower(F.concat_ws(" ", *seen)), self.search))
         return rows
 
     def order(self) -> list[Column]:

@@ -106,8 +106,8 @@ def rollup(obs: DataFrame, components: DataFrame, least_support: int) -> tuple[D
     """Support of each standalone component, and the decision for each observation that a rule touches.
 
     obs: rater, title, creator, medium and any id columns; components: rule_ord, precedence, kind (parent, continuous or
-    standalone), component, title, creator, medium, parent. A standalone component with enough raters stays; the first
-    rule and precedence that hold decide. Rules whose parent is another rule's component would need a fold: refused.
+    standalone), component, title, creator, medium, parent. A standalone component with enough raters stays. Support counts
+    every component that an observation meets; of several the first rule, precedence and component decide. Rules whose parent is another rule's component would need a fold: refused.
     """
     chained = components.alias("a").join(components.alias("b"), (F.col("a.parent") == F.col("b.title")) & (F.col("a.rule_ord") < F.col("b.rule_ord")) & (F.col("a.creator") == F.col("b.creator"))).limit(1)
     if chained.count():
@@ -115,6 +115,7 @@ def rollup(obs: DataFrame, components: DataFrame, least_support: int) -> tuple[D
     keys = ["title", "creator", "medium"]
     hit = obs.join(F.broadcast(components), keys)
     support = hit.where("kind = 'standalone'").groupBy("rule_ord", "component").agg(F.countDistinct("rater").alias("support"))
-    decided = hit.join(F.broadcast(support), ["rule_ord", "component"], "left")
+    first = components.groupBy(*keys).agg(F.min_by(F.struct("rule_ord", "precedence", "kind", "component", "parent"), F.struct("rule_ord", "precedence", "component")).alias("c")).select(*keys, "c.*")
+    decided = obs.join(F.broadcast(first), keys).join(F.broadcast(support), ["rule_ord", "component"], "left")
     reason = F.when(F.col("kind") != "standalone", F.col("kind")).when(F.col("support") >= least_support, "preserved").otherwise("rolled up")
     return support, decided.withColumn("reason", reason)

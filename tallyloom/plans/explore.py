@@ -173,7 +173,8 @@ def report_rows(spark, d):
     w = head.groupBy("rater").agg(F.sort_array(F.collect_list("w")).alias("works"))
     lists = p.groupBy("rater", "list").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "work_id"))), lambda x: x["work_id"]).alias("ids"))
     axes = lists.groupBy("rater").agg(F.map_from_entries(F.collect_list(F.struct("list", "ids"))).alias("axes"))
-    number = F.lpad(F.col("rater").cast("string"), 3, "0")
+    rater = F.col("rater").cast("string")
+    number = F.lpad(rater, F.greatest(F.lit(3), F.length(rater)), F.lit("0"))
     text = F.to_json(F.struct(F.concat(F.lit("scorer-"), number).alias("agent_id"), "works", "axes"))
     return w.join(axes, "rater").select(F.concat(F.lit("agent_"), number, F.lit(".json")).alias("file"), text.alias("text"))
 

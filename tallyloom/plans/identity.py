@@ -140,12 +140,12 @@ def override_first_match(spark, d):
 # rule, precedence, kind, component, title, creator, medium, parent
 SERIES = tuple(
     (rule, prec, kind, comp, title, f"Brand#{b}", "SMALL", parent)
-    for rule, prec, kind, comp, title, parent in ((1, 0, "parent", 0, "red ring", "ring saga"), (1, 1, "continuous", 1, "blue ring", "ring saga"), (1, 2, "standalone", 2, "small ring", "ring saga"), (2, 2, "standalone", 1, "small bolt", "bolt saga"), (2, 2, "standalone", 2, "old bolt", "bolt saga"))
+    for rule, prec, kind, comp, title, parent in ((1, 0, "parent", 0, "red ring", "ring saga"), (1, 1, "continuous", 1, "blue ring", "ring saga"), (1, 2, "standalone", 2, "small ring", "ring saga"), (2, 2, "standalone", 1, "small bolt", "bolt saga"), (2, 2, "standalone", 2, "old bolt", "bolt saga"), (1, 2, "standalone", 3, "red ring", "ring saga"), (2, 0, "parent", 0, "small ring", "bolt saga"))
     for b in range(1, 26)
 )
 SERIES_SUPPORT = 10
 _SERIES = "series as (select * from (values " + ", ".join(str(r) for r in SERIES) + ") as t(rule_ord, precedence, kind, component, title, creator, medium, parent))"
-_HIT = f"with {_SERIES}, hit as (select s.*, l_suppkey as rater, p_partkey as work, 1950 + p_size as year from lineitem join part on l_partkey = p_partkey join series s on s.title = p_name and s.creator = p_brand and s.medium = p_type), support as (select rule_ord, component, count(distinct rater) as support from hit where kind = 'standalone' group by 1, 2)"
+_HIT = f"with {_SERIES}, hit as (select s.*, l_suppkey as rater, p_partkey as work, 1950 + p_size as year from lineitem join part on l_partkey = p_partkey join series s on s.title = p_name and s.creator = p_brand and s.medium = p_type), support as (select rule_ord, component, count(distinct rater) as support from hit where kind = 'standalone' group by 1, 2), decisive as (select * from hit where (rule_ord, precedence, component) = (select min((s.rule_ord, s.precedence, s.component)) from series s where s.title = hit.title and s.creator = hit.creator and s.medium = hit.medium))"
 
 
 def _series(spark, d):
@@ -159,7 +159,7 @@ def rollup_support(spark, d):
     return _series(spark, d)[0]
 
 
-@query("rollup_decisions", _HIT + f" select title, parent, reason, support, count(distinct rater) as raters, count(*) as n from (select h.title, h.parent, h.rater, s.support, case when kind <> 'standalone' then kind when s.support >= {SERIES_SUPPORT} then 'preserved' else 'rolled up' end as reason from hit h left join support s using (rule_ord, component)) group by 1, 2, 3, 4")
+@query("rollup_decisions", _HIT + f" select title, parent, reason, support, count(distinct rater) as raters, count(*) as n from (select h.title, h.parent, h.rater, s.support, case when kind <> 'standalone' then kind when s.support >= {SERIES_SUPPORT} then 'preserved' else 'rolled up' end as reason from decisive h left join support s using (rule_ord, component)) group by 1, 2, 3, 4")
 def rollup_decisions(spark, d):
     return _series(spark, d)[1].groupBy("title", "parent", "reason", "support").agg(F.countDistinct("rater").alias("raters"), F.count("*").alias("n"))
 

@@ -41,15 +41,15 @@ def normalize_html(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in X.TOKEN_STOP)
 
 
-@query("creator_tokens", f"select doc_id, len(list_distinct(list_filter(string_split({_words(_fold('replace(replace(text, chr(189), chr(32) || chr(104) || chr(97) || chr(108) || chr(102) || chr(32)), chr(38), chr(32) || chr(97) || chr(110) || chr(100) || chr(32))'))}, ' '), lambda w: length(w) >= 4 and w not in ({_STOP})))) as n_tokens from documents")
-def creator_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.creator_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+_SPELLED = "replace(replace(text, '½', ' half '), '&', ' and ')"
 
 
-_SEASON = r"\s*[:,-]?\s*(season|series)\s+(\d+|one|two|three|four|five|six|seven|eight|nine|ten)\s*$"
+@query("creator_tokens", f"select doc_id, len(list_distinct(list_filter(string_split({_words(_fold(_SPELLED))}, ' '), lambda w: length(w) >= 4 and w not in ({_STOP})))) as n_tokens from documents")
+def creator_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.creator_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("strip_suffix", f"select p_partkey as work, trim(regexp_replace(p_name || case p_size % 3 when 0 then ': Season ' || p_size when 1 then ' series two' else '' end, '{_SEASON}', '', 'i')) as title from part")
+@query("strip_suffix", f"select p_partkey as work, trim(regexp_replace(p_name || case p_size % 3 when 0 then ': Season ' || p_size when 1 then ' series two' else '' end, '{X.SEASON}', '', 'i')) as title from part")
 def strip_suffix(spark, d):
     tail = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(": Season "), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.lit(" series two")).otherwise(F.lit(""))
     return table(spark, d, "part").select(F.col("p_partkey").alias("work"), X.strip_season(F.concat("p_name", tail)).alias("title"))
@@ -71,7 +71,7 @@ def search_tokens(spark, d):
 
 
 _cell = lambda c: f"case when contains({c}, '\"') or contains({c}, ',') or contains({c}, chr(10)) then '\"' || replace({c}, '\"', '\"\"') || '\"' else {c} end"
-_html = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_html = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
 
 
 @query("csv_cells", f"select doc_id, md5({_cell('text')}) as cell_md5, md5({_html}) as html_md5 from documents")

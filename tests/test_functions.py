@@ -38,7 +38,7 @@ def test_html_and_csv(spark):
     assert one(spark, X.normalize_html(F.col("t")), t="<b>The&nbsp;A &amp; B</b>") == "the a and b"
     assert one(spark, X.csv_cell(F.col("t")), t='a "b", c') == '"a ""b"", c"'
     assert one(spark, X.csv_cell(F.col("t")), t=None) == ""
-    assert one(spark, X.escape_html(F.col("t")), t="<a href='x'>&") == "&lt;a href=&#39;x&#39;&gt;&amp;"
+    assert one(spark, X.escape_html(F.col("t")), t="<a href='x'>&") == "&lt;a href=&#039;x&#039;&gt;&amp;"
 
 
 def test_natural_order(spark):
@@ -90,3 +90,9 @@ def test_explorer(spark):
     assert [r["rank"] for r in last.slice(rows, 4).collect()] == [4] and q.where("rank", 2).searched("X").page == 0
     assert [r["rank"] for r in q.searched(' "X" a').ordered(rows).collect()] == [2]
     assert q.where("rank", 2).csv_document(rows) == '﻿Rank,"Title, full",Score\n2,"a ""x""",—'
+
+
+def test_normalize_folds_compatibility_forms(spark):
+    for text, want in (("E\u0301mile", "emile"), ("\ufb01n", "fin"), ("İstanbul", "istanbul"), ("Ａbc １２", "abc 12"), ("Straße №5", "strasse no5"), ("Ǆungla x²", "dzungla x2")):
+        assert one(spark, X.normalize(F.col("t")), t=text) == one(spark, X.normalize_full(F.col("t")), t=text) == want
+    assert one(spark, X.normalize(F.col("t"), half=False, ampersand="after"), t="8½") == "81 2"

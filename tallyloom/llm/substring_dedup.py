@@ -178,7 +178,8 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     Texts under a shared anchor are shuffled, and a filter of a fixed size keeps the others out as far as its buckets go
     round; anchors are about a sixteenth of the words, windows are shuffled only under shared anchors, blocks only where a
     window points to them. Keys are aggregated before each shuffle or met by joins that adaptive execution splits, so
-    that a passage in a third of all documents is no hot task.
+    that a passage in a third of all documents is no hot task. Joins whose sides both grow with the documents are merge
+    joins at every size, so that what a small table shows of the plan holds for a large one.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
@@ -191,29 +192,29 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     marked = texts.where("doc_id is not null").join(reps, [*seq, "doc_id"], "left_semi")
     anchors = marked.select("doc_id", "text_key", *seq, F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("seq_a").alias("first"), F.max("seq_a").alias("last")).where("first <> last").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "text_key", *seq).agg(F.collect_set("anchor").alias("anchors"))
+    wanted = anchors.join(shared.hint("merge"), "anchor").groupBy("doc_id", "text_key", *seq).agg(F.collect_set("anchor").alias("anchors"))
     one = F.struct("text_key", "anchors")
     wanted = wanted.groupBy("doc_id", *seq).agg(F.min(one).alias("one")).select("doc_id", *seq, "one.text_key", "one.anchors")
     key = ["doc_id", "text_key"]
     wanted = written(wanted, "wanted")
-    chosen = narrowed(own, wanted, key).join(wanted, key).dropDuplicates(key)
+    chosen = narrowed(own, wanted, key).join(wanted.hint("merge"), key).dropDuplicates(key)
     # t names a text; it is stored, so it stays the same however often the table is read.
     parsed = written(chosen.select("doc_id", *seq, "text", "anchors").mapInArrow(_windows, PARSED).withColumn("t", F.monotonically_increasing_id()), "parsed")
     spread = parsed.select("doc_id", "t", F.explode(F.arrays_zip("starts", "windows", "marks")).alias("w")).select("doc_id", "t", F.col("w.starts").alias("start"), "w.windows", "w.marks")
     window = ["marks", "windows"]
     index = spread.groupBy(*window).agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last").drop("last")
-    repeated = written(spread.join(index, window), "repeated")
+    repeated = written(spread.join(index.hint("merge"), window), "repeated")
     first = repeated.where("doc_id = ref").groupBy(*window).agg(F.min(F.struct("t", "start")).alias("place"))
     match = F.struct("start", "ref", F.col("place.t").alias("ref_t"), F.col("place.start").alias("at"))
-    matches = repeated.where("ref < doc_id").join(first, window).groupBy("t").agg(F.collect_list(match).alias("found"))
+    matches = repeated.where("ref < doc_id").join(first.hint("merge"), window).groupBy("t").agg(F.collect_list(match).alias("found"))
     runs = written(matches.mapInArrow(_runs, RUNS), "runs")
     numbers = F.sequence(F.floor(F.col("r.at") / BLOCK).cast("int"), F.floor((F.col("r.at") + F.col("r.n") + (WINDOW - 2)) / BLOCK).cast("int"))
     asked = written(runs.select("t", F.explode("runs").alias("r")).select("t", "r.ref_t", F.explode(numbers).alias("block")).distinct(), "asked")
     by_text = asked.select("ref_t", "block").distinct().groupBy("ref_t").agg(F.collect_list("block").alias("blocks"))
     texts_of = parsed.select(F.col("t").alias("ref_t"), "text")
-    blocks = narrowed(texts_of, asked, ["ref_t"]).join(by_text, "ref_t").select("ref_t", "text", "blocks").mapInArrow(_blocks, BLOCKS)
+    blocks = narrowed(texts_of, asked, ["ref_t"]).join(by_text.hint("merge"), "ref_t").select("ref_t", "text", "blocks").mapInArrow(_blocks, BLOCKS)
     supplied = asked.join(blocks, ["ref_t", "block"]).groupBy("t").agg(F.collect_list(F.struct("ref_t", "block", "words")).alias("supplied"))
-    matched = narrowed(parsed.select("t", *seq, "text"), runs, ["t"]).join(runs, "t").join(supplied, "t")
+    matched = narrowed(parsed.select("t", *seq, "text"), runs, ["t"]).join(runs.hint("merge"), "t").join(supplied.hint("merge"), "t")
     factored = matched.select(*seq, "text", "runs", "supplied").mapInArrow(_factor, FACTORED)
     known = least.join(factored, seq, "left")
     copy = (F.col("doc_id") > F.col("rep_id")) & (F.col("n_words") >= WINDOW)

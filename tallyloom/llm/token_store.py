@@ -9,8 +9,8 @@ The container is a Parquet table, one row a chunk, written by Spark's committer:
 and any store that Spark writes will do. Its small columns are the chunk index (documents, lengths, place in the shard,
 sizes of planes); a reader of the index never touches the planes, and each chunk can be read without another.
 
-Defined results: a null text counts as an empty one and gets the end id alone; null ids come first; rows that share an
-id stay neighbours, ordered by a hash of the text, so that they needn't meet in one task; other columns are not read. A document is never cut: one longer than a chunk
+Defined results: a null text counts as an empty one and gets the end id alone; null ids come first, dealt by
+their texts; rows that share an id stay neighbours in one task, ordered by text; other columns are not read. A document is never cut: one longer than a chunk
 makes a longer chunk.
 """
 
@@ -216,8 +216,10 @@ def write_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
         if parts:
             yield closed()
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    dealt = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Shards are numbered in the order of the union; the ranges are found without reading a text.
+    nameless = own.where("doc_id is null").repartition("text").sortWithinPartitions("text")
+    dealt = nameless.union(own.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     dealt.mapInArrow(pack, CHUNKS).write.option("compression", "none").parquet(f"{path}/chunks")
     index = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").drop("planes")
     index.write.parquet(f"{path}/index")

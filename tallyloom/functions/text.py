@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -85,6 +86,30 @@ def normalize_html(html: Column) -> Column:
     return normalize(x, half=False, articles=False)
 
 
+def normalized(value: str) -> str:
+    """`normalize` of one text on the driver, for names in configuration files."""
+    x = _fold(value.replace("½", " half ").replace("&", " and "))
+    x = re.sub("[^a-z0-9]+", " ", x).strip(" ")
+    return re.sub(f"^({ARTICLES}) ", "", x).strip(" ")
+
+
+def alias_map(pairs) -> dict[str, str]:
+    """Normalised names that mean one work, each with the smaller name of its pair; the last pair of a name holds."""
+    out: dict[str, str] = {}
+    for one, other in pairs:
+        names = (normalized(one), normalized(other))
+        out |= dict.fromkeys(names, min(names))
+    return out
+
+
+def aliased(title: Column, aliases: dict[str, str]) -> Column:
+    """A normalised title, or what it is an alias of."""
+    if not aliases:
+        return title
+    table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, title), title)
+
+
 def creator_key(name: Column) -> Column:
     """The sorted words of a name without joining words; repeats stay."""
     words = F.filter(F.split(normalize(name), " "), lambda w: ~w.isin(*CREATOR_STOP, ""))
@@ -109,11 +134,13 @@ def strip_season(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, SEASON, ""))
 
 
-def title_candidates(title: Column, original: Column) -> Column:
-    """Normalised title and original title, and both without a trailing form word; no empties, no repeats."""
-    both = [normalize(title), normalize(original)]
-    trimmed = [F.trim(F.regexp_replace(x, f" ({'|'.join(FORM_WORDS)})$", "")) for x in both]
-    return F.array_sort(F.array_distinct(F.filter(F.array(*both, *trimmed), lambda x: x != "")))
+def title_candidates(title: Column, original: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Normalised title and original title by their aliases, and both without a trailing form word; no empties, no repeats."""
+    known = aliases or {}
+    both = [aliased(normalize(x), known) for x in (title, original)]
+    bare = [F.trim(F.regexp_replace(x, f" ({'|'.join(FORM_WORDS)})$", "")) for x in both]
+    bare = [aliased(F.trim(F.regexp_replace(x, f"^({ARTICLES}) ", "")), known) for x in bare]
+    return F.array_sort(F.array_distinct(F.filter(F.array(*both, *bare), lambda x: x != "")))
 
 
 def year_matches(text: Column, year: Column, spread: int = 2) -> Column:

@@ -1,7 +1,7 @@
 """Which works are one: media, merge rules, edges, canonical identities, overrides and series roll-ups.
 
 Edges come from equality keys alone: exact keys give a star to the least id, the year band gives keys (title, year) for
-a year and the next, so that no join compares a whole title group.
+a year and the next. Clusters are built from `links`; `band_pairs` lists every pair and serves as a report.
 """
 
 from __future__ import annotations
@@ -82,10 +82,31 @@ def band_pairs(ids: DataFrame, rules: MediaRules = DEFAULT_MEDIA) -> DataFrame:
 
 
 def chain_edges(ids: DataFrame) -> DataFrame:
-    """The closure of the one-medium rule without its pairs: each id to the next of its title and medium, a year away at most."""
+    """The closure of the one-medium rule without its pairs: ids of a title, medium and year to the least of them, and the
+    least of a year to that of the next."""
     keyed = ids.select("id", F.explode("titles").alias("title"), "medium", "year")
-    before = Window.partitionBy("title", "medium").orderBy("year", "id")
-    return keyed.select("id", (F.col("year") - F.lag("year").over(before)).alias("gap"), F.lag("id").over(before).alias("a")).where("gap <= 1").select("a", F.col("id").alias("b"))
+    least = keyed.groupBy("title", "medium", "year").agg(F.min("id").alias("a"))
+    star = keyed.join(least, ["title", "medium", "year"]).where("id > a").select("a", F.col("id").alias("b"))
+    after = least.select("title", "medium", (F.col("year") - 1).alias("year"), F.col("a").alias("b"))
+    return star.union(least.join(after, ["title", "medium", "year"]).select("a", "b")).distinct()
+
+
+def kin_edges(ids: DataFrame, rules: MediaRules = DEFAULT_MEDIA) -> DataFrame:
+    """The closure of the band rule across media, given `chain_edges`: one id for each title, year, medium and creator key
+    meets those of a matching medium, at most a year away, that share a word of the creator key (related creators do)."""
+    keyed = ids.select("id", F.explode("titles").alias("title"), rules.bucket(F.col("medium")).alias("bucket"), "year", "medium", "creator_key")
+    keys = ["title", "bucket", "year", "medium", "creator_key"]
+    words = keyed.groupBy(*keys).agg(F.min("id").alias("id")).select("*", F.explode(F.array_distinct(F.split("creator_key", " "))).alias("word")).where("word <> ''")
+    left = words.withColumn("band", F.col("year"))
+    right = words.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "medium", "creator_key")), "title", "bucket", "word", F.explode(F.array(F.col("year"), F.col("year") + 1)).alias("band"))
+    met = left.join(right, ["title", "bucket", "word", "band"]).where("medium <> medium_b")
+    hit = rules.match(F.col("medium"), F.col("medium_b")) & creators_related(F.col("creator_key"), F.col("creator_key_b"))
+    return met.where(hit).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).where("a < b").distinct()
+
+
+def links(ids: DataFrame, rules: MediaRules = DEFAULT_MEDIA) -> DataFrame:
+    """Edges whose components are those of `exact_edges` and `band_pairs`; none of the joins pairs a whole title group."""
+    return exact_edges(ids, rules).union(chain_edges(ids)).union(kin_edges(ids, rules))
 
 
 def canonical(members: DataFrame, series_medium: str = "book_series") -> DataFrame:

@@ -29,10 +29,10 @@ def ranked(placed: DataFrame, spec: SurveySpec = FIVE_AXES) -> DataFrame:
     return placed.groupBy("rater", "work", *LOCAL, *spec.axes).agg(*places, F.count("*").alias("n_lists"), F.sum("place").alias("sum_place"), F.min("place").alias("best_place"))
 
 
-def picked(rows: DataFrame, spec: SurveySpec = FIVE_AXES, work: str = "work") -> DataFrame:
+def picked(rows: DataFrame, spec: SurveySpec = FIVE_AXES, work: str = "work", local: tuple[str, ...] = LOCAL) -> DataFrame:
     """All variants of a rater's work: rn 1 is the one whose scores hold; m_* are the least places over the variants."""
     group = Window.partitionBy("rater", work)
-    order = group.orderBy(F.desc("n_lists"), "sum_place", "best_place", *LOCAL)
+    order = group.orderBy(F.desc("n_lists"), "sum_place", "best_place", *local)
     least = {f"m_{name}": F.min(f"r_{name}").over(group) for name in spec.list_names}
     return rows.withColumns({"rn": F.row_number().over(order), "variants": F.count("*").over(group), **least})
 

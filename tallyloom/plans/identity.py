@@ -96,8 +96,7 @@ _CLUSTERS = _IDS.replace("with ids", "with recursive ids") + f""", {_EXACT}, {_B
 
 def clusters(spark, d):
     i = ids(spark, d)
-    links = I.exact_edges(i, RULES).union(I.chain_edges(i)).union(I.band_pairs(i, RULES).select("a", "b"))
-    named = components(links)
+    named = components(I.links(i, RULES))
     return i.join(named, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "id")).drop("node", "component")
 
 

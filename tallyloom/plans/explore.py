@@ -151,20 +151,6 @@ def explode_rankings(spark, d):
     return rows.groupBy("rater", "list", "work").agg((F.min("pos") + 1).cast("long").alias("place"))
 
 
-@query("validate_report", CHAIN + """, m as (select rater, case when n < 100 then 'too few works' when n > 400 then 'too many works' end as message from (select rater, count(distinct work) as n from obs group by rater)
- union all select rater, list || ' has ' || n from (select rater, list, count(*) as n from placed group by rater, list) where n <> 100
- union all select rater, list || ' repeats an id' from (select rater, list from placed group by rater, list having count(distinct work) < count(*)))
-select rater, count(message) as n_messages, coalesce(string_agg(message, '; ' order by message), '') as messages from m group by rater""")
-def validate_report(spark, d):
-    n = obs(spark, d).select("rater", "work").distinct().groupBy("rater").agg(F.count("*").alias("n"))
-    size = n.select("rater", F.when(F.col("n") < 100, "too few works").when(F.col("n") > 400, "too many works").alias("message"))
-    per = placed(spark, d).groupBy("rater", "list", "work").agg(F.count("*").alias("k")).groupBy("rater", "list").agg(F.sum("k").alias("n"), F.count("*").alias("n_works"))
-    short = per.where("n <> 100").select("rater", F.concat("list", F.lit(" has "), F.col("n").cast("string")).alias("message"))
-    again = per.where("n_works < n").select("rater", F.concat("list", F.lit(" repeats an id")).alias("message"))
-    every = size.union(short).union(again).groupBy("rater").agg(F.sort_array(F.collect_list("message")).alias("m"))
-    return every.select("rater", F.size("m").cast("long").alias("n_messages"), F.array_join("m", "; ").alias("messages"))
-
-
 def report_rows(spark, d):
     """Reports as their JSON texts, one for each rater: the works that its lists hold, and the lists."""
     p = placed(spark, d).withColumn("work_id", F.concat_ws("-", F.lit("w"), "work", "o", "ln"))
@@ -179,6 +165,25 @@ def report_rows(spark, d):
     return w.join(axes, "rater").select(F.concat(F.lit("agent_"), number, F.lit(".json")).alias("file"), text.alias("text"))
 
 
+_FILE = "'agent_' || lpad(cast(rater as varchar), cast(greatest(3, length(cast(rater as varchar))) as integer), '0') || '.json'"
+_REPORT = f""", entry as (select distinct rater, 'w-' || work || '-' || o || '-' || ln as id, p_name as title, p_brand as creator, {', '.join(AXES)} from placed join part on p_partkey = work),
+ nth as (select *, row_number() over (partition by rater order by id, title, creator, {', '.join(AXES)}) as pos from entry),
+ listed as (select rater, list, place, 'w-' || work || '-' || o || '-' || ln as id, count(*) over (partition by rater, list) as n from placed),
+ said as (select rater, 'works: ' || count(*) as message from nth group by rater having count(*) not between 100 and 400
+  union all select rater, 'work ' || pos || ': duplicate id ' || id from (select *, row_number() over (partition by rater, id order by pos) as k from nth) where k > 1
+  union all select rater, 'work ' || pos || ': duplicate work ' || title from (select *, row_number() over (partition by rater, title, creator order by pos) as k from nth) where k > 1
+  union all select distinct rater, list || ' has ' || n from listed where n <> 100
+  union all select rater, list || ' repeats an id' from listed where n = 100 group by rater, list having count(distinct id) < 100
+  union all select distinct rater, 'unreferenced ' || id from nth where (rater, id) not in (select (rater, id) from listed where n = 100))"""
+
+
+@query("validate_report", CHAIN + _REPORT + f" select {_FILE} as file, count(message) as n_messages, md5(coalesce(string_agg(message, '; ' order by message), '')) as messages_md5 from (select distinct rater from placed) left join said using (rater) group by rater")
+def validate_report(spark, d):
+    """The strict validator over the reports that the raters' lists make."""
+    m = reports.validate(report_rows(spark, d), FIVE_AXES)
+    return m.select("file", F.size("messages").cast("long").alias("n_messages"), F.md5(F.array_join("messages", "; ")).alias("messages_md5"))
+
+
 @query("scan_reports", CHAIN + f"select rater as number, work, o, ln, min({AXES[0]}) as {AXES[0]}, {', '.join(f'min(r_{n}) as r_{n}' for n in LISTS)} from ranked group by rater, work, o, ln having count(*) % 2 = 1")
 def scan_reports(spark, d):
     """Reports written as JSON and read again: works parsed and checked, ids resolved, places joined."""
@@ -186,3 +191,40 @@ def scan_reports(spark, d):
     part = F.split("work_id", "-")
     number = lambda k: F.element_at(part, k).cast("long")
     return o.select(F.col("number").cast("long").alias("number"), number(2).alias("work"), number(3).alias("o"), number(4).cast("int").alias("ln"), AXES[0], *(F.col(f"r_{n}").cast("long").alias(f"r_{n}") for n in LISTS))
+
+
+def faulty_rows(spark, d):
+    """The reports with faults by rule: years out of range, works that the lists alone have, and works that no list has."""
+    r = report_rows(spark, d).select("file", F.from_json("text", "agent_id string, works array<struct<work_id: string, title: string, original_title: string, creator: string, year: bigint, medium: string, scores: struct<" + ", ".join(f"{a}: bigint" for a in AXES) + ">>>, axes map<string, array<string>>").alias("r"))
+    o = lambda w: F.element_at(F.split(w["work_id"], "-"), 3).cast("long")
+    there = F.filter("r.works", lambda w: o(w) % 13 != 0)
+    aged = F.transform(there, lambda w: F.when(o(w) % 17 == 0, w.withField("year", F.lit(999).cast("long"))).otherwise(w))
+    loose = F.transform(F.filter("r.works", lambda w: o(w) % 19 == 0), lambda w: w.withField("work_id", F.concat(F.lit("z-"), w["work_id"])))
+    return r.select("file", F.to_json(F.struct("r.agent_id", F.concat(aged, loose).alias("works"), "r.axes")).alias("text"))
+
+
+_FAULTY = _REPORT + f""", file as (select *, {_FILE} as file, cast(string_split(id, '-')[3] as bigint) as ord from nth),
+ given as (select *, row_number() over (partition by file order by pos) as nr, count(*) over (partition by file) as n_given from file where ord % 13 <> 0),
+ extra as (select f.*, row_number() over (partition by f.file order by f.pos) as nr from file f where ord % 19 = 0),
+ good as (select * from given where ord % 17 <> 0),
+ times as (select *, row_number() over (partition by file, id order by nr) as k, count(*) over (partition by file, id) as cnt from good),
+ held as (select file, id from times where k = cnt and cnt % 2 = 1),
+ spots as (select {_FILE} as file, list, id, min(place) as place from listed group by all)"""
+_LOOSE_TIMES = "select file, 'z-' || id as id, row_number() over (partition by file, id order by nr) as k, count(*) over (partition by file, id) as cnt from extra"
+
+
+@query("scan_malformed", CHAIN + _FAULTY + f""" select file, 'invalid work' as reason, count(*) as n from given where ord % 17 = 0 group by file
+ union all select file, 'duplicate id', count(*) from (select file from times where k % 2 = 0 union all select file from ({_LOOSE_TIMES}) where k % 2 = 0) group by file""")
+def scan_malformed(spark, d):
+    return reports.parse(faulty_rows(spark, d), FIVE_AXES).malformed.groupBy("file", "reason").agg(F.count("*").alias("n"))
+
+
+@query("scan_unknown", CHAIN + _FAULTY + " select file, list, id as work_id, place from spots where (file, id) not in (select (file, id) from held)")
+def scan_unknown(spark, d):
+    u = reports.parse(faulty_rows(spark, d), FIVE_AXES).unknown
+    return u.select("file", "list", "work_id", F.col("place").cast("long").alias("place"))
+
+
+@query("scan_unreferenced", CHAIN + _FAULTY + f" select file, id as work_id from ({_LOOSE_TIMES}) where k = cnt and cnt % 2 = 1")
+def scan_unreferenced(spark, d):
+    return reports.parse(faulty_rows(spark, d), FIVE_AXES).unreferenced

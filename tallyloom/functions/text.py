@@ -93,6 +93,11 @@ def normalized(value: str) -> str:
     return re.sub(f"^({ARTICLES}) ", "", x).strip(" ")
 
 
+def creator_words(name: str) -> str:
+    """`creator_key` of one name on the driver."""
+    return " ".join(sorted(w for w in normalized(name).split() if w not in CREATOR_STOP))
+
+
 def alias_map(pairs) -> dict[str, str]:
     """Normalised names that mean one work, each with the smaller name of its pair; the last pair of a name holds."""
     out: dict[str, str] = {}

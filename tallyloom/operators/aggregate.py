@@ -16,6 +16,7 @@ from tallyloom.functions import text as X
 from tallyloom.operators import identity as I
 from tallyloom.operators import scoring as S
 from tallyloom.operators.components import components
+from tallyloom.operators.ordinals import with_ordinal
 from tallyloom.operators.rollup import IDENTITY, identity_id, roll_up
 from tallyloom.session import written
 from tallyloom.sources.config import Series
@@ -87,13 +88,14 @@ def aggregate(
     totals = seen.agg(F.sum("n").alias("observations")).crossJoin(every.agg(F.sum("n_lists").alias("collected"), F.sum(F.when(F.col("out"), F.col("n_lists")).otherwise(0)).alias("left_out"), F.count_if(F.col("rn") == 1).alias("unique_observations")))
     stats = written(S.global_stats(kept, spec).drop("n_raters").crossJoin(raters).crossJoin(totals), "stats")
     named = canon.where("not out").drop("out")
-    works = written(S.overall_rank(S.consensus(kept, stats, spec, "cluster").join(named, "cluster"), "cluster"), "works")
+    works = with_ordinal(S.consensus(kept, stats, spec, "cluster").join(named, "cluster"), [*S.by_consensus(), F.asc("cluster")], "rank", 1)
     place = works.select("cluster", "rank")
     raw = lambda c: F.col(c).alias(f"raw_{c}")
     key = ["rater", "cluster", *local]
     shown = kept.select(*key, *map(raw, IDENTITY), *spec.axes, *(F.col(f"m_{n}").alias(f"place_{n}") for n in spec.list_names)).join(place, "cluster")
     long = F.array(*(F.struct(F.lit(n).alias("list"), F.col(f"r_{n}").cast("int").alias("place")) for n in spec.list_names))
-    picks = every.where("not out").select(*key, *map(raw, IDENTITY), *spec.axes, F.inline(long)).where("place is not null").join(place, "cluster")
+    agent = ["agent_id"] if "agent_id" in every.columns else []
+    picks = every.where("not out").select(*key, *agent, *map(raw, IDENTITY), *spec.axes, F.inline(long)).where("place is not null").join(place, "cluster")
     same = F.struct(*local) if len(local) > 1 else F.col(local[0])
     within = every.where("variants > 1").groupBy("rater", "cluster").agg(F.min(F.when(F.col("rn") == 1, same)).alias("kept"), F.sort_array(F.collect_list(F.when(F.col("rn") > 1, same))).alias("discarded"))
     to = canon.select("cluster", *(F.col(c).alias(f"to_{c}") for c in IDENTITY))

@@ -6,10 +6,14 @@ a year and the next. Clusters are built from `links`; `band_pairs` lists every p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
 from tallyloom.functions.text import creators_related
+from tallyloom.sources.config import Identity
 
 # Media and their families.
 FAMILIES = {
@@ -117,10 +121,64 @@ def canonical(members: DataFrame, series_medium: str = "book_series") -> DataFra
     return members.groupBy("cluster").agg(F.min(F.struct(order.alias("o"), "id", "title", "year", "medium")).alias("x")).select("cluster", "x.id", "x.title", "x.year", "x.medium")
 
 
-def first_match(rows: DataFrame, rules: DataFrame, on: Column, key: str, value: str, default: str) -> DataFrame:
-    """rows with the value of the first rule by priority that holds, else the default column; rules is a small table."""
-    hits = rows.join(F.broadcast(rules), on).groupBy(key).agg(F.min_by(value, "priority").alias("_new"))
-    return rows.join(hits, key, "left").withColumn("resolved", F.coalesce("_new", default)).drop("_new")
+def first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
+    """The value of the first rule whose condition holds, else the default; rules are compiled into one expression."""
+    out = None
+    for holds, value in rules:
+        out = F.when(holds, value) if out is None else out.when(holds, value)
+    return default if out is None else out.otherwise(default)
+
+
+@dataclass(frozen=True)
+class Override:
+    """A known correction: names and, where given, creators and media that it holds for, and the identity that it puts.
+
+    by_words compares creators as sorted words; keep_original leaves the original title as it was."""
+
+    titles: tuple[str, ...]
+    to: Identity
+    creators: tuple[str, ...] = ()
+    media: tuple[str, ...] = ()
+    by_words: bool = False
+    keep_original: bool = False
+
+
+def identified(rows: DataFrame, overrides: tuple[Override, ...], season_medium: str = "tv_series") -> DataFrame:
+    """rows with title, original_title, creator, year and medium corrected: seasons go from titles of the one medium, then
+    the first override that holds decides. Nulls meet no override."""
+    names = ("title", "original_title", "creator", "year", "medium")
+    rows = rows.withColumn("title", F.when(F.col("medium") == season_medium, X.strip_season(F.col("title"))).otherwise(F.col("title")))
+    title, who, words = X.normalize(F.col("title")), X.normalize(F.col("creator")), X.creator_key(F.col("creator"))
+    rules = []
+    for o in overrides:
+        holds = title.isin(*(X.normalized(t) for t in o.titles))
+        if o.creators and o.by_words:
+            holds = holds & words.isin(*(X.creator_words(c) for c in o.creators))
+        elif o.creators:
+            holds = holds & who.isin(*(X.normalized(c) for c in o.creators))
+        if o.media:
+            holds = holds & F.col("medium").isin(*o.media)
+        value = F.struct(*(F.col(c) if c == "original_title" and o.keep_original else F.lit(getattr(o.to, c)).cast(rows.schema[c].dataType).alias(c) for c in names))
+        rules.append((F.coalesce(holds, F.lit(False)), value))
+    found = rows.withColumn("_to", first_match(rules, F.struct(*(F.col(c) for c in names))))
+    return found.withColumns({c: F.col(f"_to.{c}") for c in names}).drop("_to")
+
+
+def related_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (key_a < key_b) of distinct creator keys k that are related, met over a word that both have."""
+    words = keys.select("k").distinct().select("k", F.explode(F.array_distinct(F.split("k", " "))).alias("word")).where("word <> ''")
+    met = words.withColumnRenamed("k", "key_a").join(words.withColumnRenamed("k", "key_b"), "word").where("key_a < key_b").select("key_a", "key_b").distinct()
+    return met.where(creators_related(F.col("key_a"), F.col("key_b")))
+
+
+def compatible_pairs(media: DataFrame, rules: MediaRules = DEFAULT_MEDIA) -> DataFrame:
+    """Ordered pairs of distinct media that can be one work's, met over equal media, a family or a listed pair."""
+    m = F.col("medium")
+    family = rules.family(m)
+    keys = [F.concat(F.lit("m:"), m), F.when(family.isin(*rules.compatible), F.concat(F.lit("f:"), family))]
+    keys += [F.when(m.isin(*pair), F.lit(f"p:{k}")) for k, pair in enumerate(rules.pairs)]
+    keyed = media.select("medium").distinct().select("medium", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    return keyed.withColumnRenamed("medium", "medium_a").join(keyed.withColumnRenamed("medium", "medium_b"), "key").select("medium_a", "medium_b").distinct()
 
 
 def rollup(obs: DataFrame, components: DataFrame, least_support: int) -> tuple[DataFrame, DataFrame]:

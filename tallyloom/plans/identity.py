@@ -9,6 +9,7 @@ from tallyloom.operators import identity as I
 from tallyloom.operators.components import components
 from tallyloom.plans.registry import query
 from tallyloom.plans.survey import CHAIN, PART, obs, parts, unique
+from tallyloom.sources.config import Identity
 from tallyloom.sources.star import table
 from tallyloom.spec import ALIASES, DATASETS, DEFAULT_DATASET
 
@@ -29,7 +30,8 @@ _FAM = _case(RULES.families, "medium")
 _BUCKET = _case(RULES.families | RULES.buckets, "medium")
 _match = lambda a, b: f"({a} = {b} or ({_case(RULES.families, a)} = 'compact' and {_case(RULES.families, b)} = 'compact') or ({a} = 'LARGE' and {b} = 'PROMO') or ({a} = 'PROMO' and {b} = 'LARGE'))"
 _IDS = f"with ids as (select work as id, {_norm('title')} as title, {_KEY} as creator_key, medium, {_FAM} as family, {_BUCKET} as bucket, year, creator from {PART})"
-_REL = "len(list_intersect(string_split(a.creator_key, ' '), string_split(b.creator_key, ' '))) * 2 >= least(len(string_split(a.creator_key, ' ')), len(string_split(b.creator_key, ' ')))"
+_words = lambda t: f"list_distinct(string_split({t}.creator_key, ' '))"
+_REL = f"len(list_intersect({_words('a')}, {_words('b')})) * 2 >= least(len({_words('a')}), len({_words('b')}))"
 _EXACT = "exact as (select distinct m.a, i.id as b from ids i join (select title, creator_key, family, min(id) as a from ids group by 1, 2, 3) m using (title, creator_key, family) where i.id > m.a)"
 _BAND = f"band as (select distinct a.id as a, b.id as b from ids a join ids b on a.title = b.title and a.bucket = b.bucket and abs(a.year - b.year) <= 1 and a.id < b.id where {_match('a.medium', 'b.medium')} and (a.medium = b.medium or {_REL}))"
 
@@ -46,12 +48,9 @@ def family_map(spark, d):
     return parts(spark, d).groupBy("medium").agg(F.count("*").alias("n")).select("medium", RULES.family(m).alias("family"), RULES.bucket(m).alias("bucket"), "n")
 
 
-@query("media_compat", f"select a.medium as medium_a, b.medium as medium_b, {_match('a.medium', 'b.medium')} as compatible from (select distinct p_type as medium from part) a cross join (select distinct p_type as medium from part) b")
+@query("media_compat", f"select a.medium as medium_a, b.medium as medium_b from (select distinct p_type as medium from part) a cross join (select distinct p_type as medium from part) b where {_match('a.medium', 'b.medium')}")
 def media_compat(spark, d):
-    m = table(spark, d, "part").select(F.col("p_type").alias("medium")).distinct()
-    every = m.agg(F.sort_array(F.collect_list("medium")).alias("all"))
-    pairs = m.crossJoin(F.broadcast(every)).select(F.col("medium").alias("medium_a"), F.explode("all").alias("medium_b"))
-    return pairs.withColumn("compatible", RULES.match(F.col("medium_a"), F.col("medium_b")))
+    return I.compatible_pairs(parts(spark, d), RULES)
 
 
 @query("creator_key", f"select work, {_KEY} as creator_key from {PART}")
@@ -59,12 +58,12 @@ def creator_key(spark, d):
     return parts(spark, d).select("work", X.creator_key(F.col("creator")).alias("creator_key"))
 
 
-@query("creators_related", f"with k as (select distinct {_KEY} as creator_key from {PART}) select a.creator_key as key_a, b.creator_key as key_b, {_REL} as related from k a join k b on a.creator_key < b.creator_key")
+@query("creators_related", f"with k as (select distinct {_KEY} as creator_key from {PART} where work % 3 = 0 union select distinct 'studio ' || work % 40 || ' ' || work % 7 from {PART}) select a.creator_key as key_a, b.creator_key as key_b from k a join k b on a.creator_key < b.creator_key where {_REL}")
 def creators_related(spark, d):
-    k = parts(spark, d).select(X.creator_key(F.col("creator")).alias("k")).distinct()
-    every = k.agg(F.sort_array(F.collect_list("k")).alias("all"))
-    pairs = k.crossJoin(F.broadcast(every)).select(F.col("k").alias("key_a"), F.explode("all").alias("key_b")).where("key_a < key_b")
-    return pairs.withColumn("related", X.creators_related(F.col("key_a"), F.col("key_b")))
+    """Brands of parts and made-up names of two numbers."""
+    p = parts(spark, d)
+    made = p.select(F.concat_ws(" ", F.lit("studio"), F.col("work") % 40, F.col("work") % 7).alias("k"))
+    return I.related_pairs(p.where("work % 3 = 0").select(X.creator_key(F.col("creator")).alias("k")).union(made))
 
 
 @query("title_candidates", f"select work, list_sort(list_distinct(list_filter([{_norm('title')}, {_norm('creator')}, trim(regexp_replace({_norm('title')}, ' (film|novel|novella|book|tv series|television series|series|video game|game|anime|manga)$', ''))], lambda x: x <> ''))) as titles from {PART}")
@@ -131,9 +130,27 @@ _OV = "(values " + ", ".join(f"({p}, '{w}', {repr(m) if m else 'null'}, '{r}')"
 
 @query("override_first_match", f"select work, title, coalesce((select arg_min(replacement, priority) from {_OV} where contains(p.title, word) and (only_medium is null or only_medium = p.medium)), title) as resolved from {PART} p")
 def override_first_match(spark, d):
-    rules = spark.createDataFrame(OVERRIDES, "priority int, word string, only_medium string, replacement string")
-    on = F.contains("title", "word") & (F.col("only_medium").isNull() | (F.col("only_medium") == F.col("medium")))
-    return I.first_match(parts(spark, d), rules, on, "work", "replacement", "title").select("work", "title", "resolved")
+    holds = lambda word, only: F.contains("title", F.lit(word)) & (F.col("medium") == only if only else F.lit(True))
+    rules = [(holds(word, only), F.lit(to)) for _, word, only, to in sorted(OVERRIDES)]
+    return parts(spark, d).select("work", "title", I.first_match(rules, F.col("title")).alias("resolved"))
+
+
+CORRECTIONS = (
+    I.Override(("The Red Ring", "blue ring"), Identity("The Ring", "", "Brand#1", 1960, "LARGE"), ("Brand#3", "brand 4"), ("SMALL", "LARGE")),
+    I.Override(("red ring",), Identity("Red Ring", "", "Brand#2", 1961, "PROMO"), ("4 brand",), by_words=True, keep_original=True),
+    I.Override(("old gear",), Identity("The Old Gear", "Gear", "Brand#9", 1977, "ECONOMY")),
+)
+
+
+@query("identity_overrides", f"""select work, case k when 1 then 'The Ring' when 2 then 'Red Ring' when 3 then 'The Old Gear' else title end as title, case k when 1 then '' when 3 then 'Gear' else original end as original_title,
+ case k when 1 then 'Brand#1' when 2 then 'Brand#2' when 3 then 'Brand#9' else creator end as creator, case k when 1 then 1960 when 2 then 1961 when 3 then 1977 else year end as year, case k when 1 then 'LARGE' when 2 then 'PROMO' when 3 then 'ECONOMY' else medium end as medium
+ from (select *, case when title in ('red ring', 'blue ring') and creator in ('Brand#3', 'Brand#4') and medium in ('SMALL', 'LARGE') then 1 when title = 'red ring' and creator = 'Brand#4' then 2 when title = 'old gear' then 3 end as k
+  from (select work, title, creator, year, medium, 'o' || work % 5 as original from {PART}))""")
+def identity_overrides(spark, d):
+    """Corrections of known identities; the season goes from titles of one medium."""
+    p = parts(spark, d).withColumn("original_title", F.concat(F.lit("o"), F.col("work") % 5))
+    p = p.withColumn("title", F.when(F.col("medium") == "SMALL", F.concat("title", F.lit(": Season "), F.col("work") % 9)).otherwise(F.col("title")))
+    return I.identified(p, CORRECTIONS, "SMALL").select("work", "title", "original_title", "creator", "year", "medium")
 
 
 # rule, precedence, kind, component, title, creator, medium, parent

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scoring import adjusted_score, rank_adjustment
 from tallyloom.operators import scoring as S
 from tallyloom.plans.registry import query
+from tallyloom.session import written
 from tallyloom.sources.star import LOCAL, observations, table
 from tallyloom.spec import FIVE_AXES
 
@@ -64,13 +65,18 @@ def unique(spark: SparkSession, d: str) -> DataFrame:
     return S.unique_observations(obs(spark, d))
 
 
+def unique_once(spark: SparkSession, d: str) -> DataFrame:
+    """The unique observations as a table, for plans that read them for statistics and again for works."""
+    return written(unique(spark, d), "unique")
+
+
 def parts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("work"), F.col("p_name").alias("title"), F.col("p_brand").alias("creator"), F.col("p_type").alias("medium"), (1950 + F.col("p_size")).alias("year"))
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
-    u = unique(spark, d)
+    u = unique_once(spark, d)
     return S.overall_rank(S.consensus(u, S.global_stats(u)).join(parts(spark, d), "work"))
 
 
@@ -129,7 +135,7 @@ def top100_lists(spark, d):
 
 @query("support_rate", CHAIN + "select work, support, round(support_rate, 6) as support_rate from scored")
 def support_rate(spark, d):
-    u = unique(spark, d)
+    u = unique_once(spark, d)
     return S.consensus(u, S.global_stats(u)).select("work", "support", *r6("support_rate"))
 
 
@@ -193,7 +199,7 @@ def topk_minima(spark, d):
 
 @query("top25", CHAIN + f"select rank, work, title, support, {s6('consensus')} from works where rank <= 25")
 def top25(spark, d):
-    u = unique(spark, d)
+    u = unique_once(spark, d)
     best = S.consensus(u, S.global_stats(u)).join(parts(spark, d), "work").orderBy(*S.by_consensus(), "work").limit(25)
     return S.overall_rank(best).select("rank", "work", "title", "support", *r6("consensus"))
 
@@ -205,7 +211,7 @@ def singletons(spark, d):
 
 @query("audit_summary", CHAIN + "select (select n_raters from stats) as raters, (select count(*) from ranked) as observations, (select n_obs from stats) as unique_observations, (select count(*) from means) as works, (select count(*) from means where support = 1) as singletons, (select count(*) from placed) as placements, (select round(sd, 6) from stats) as sd, (select round(max(consensus), 4) from cons) as top_score")
 def audit_summary(spark, d):
-    u = unique(spark, d)
+    u = unique_once(spark, d)
     stats = S.global_stats(u)
     n_obs = S.ranked(placed(spark, d)).agg(F.count("*").alias("observations"), F.sum("n_lists").alias("placements"))
     w = S.consensus(u, stats).agg(F.count("*").alias("works"), F.count_if(F.col("support") == 1).alias("singletons"), F.round(F.max("consensus"), 4).alias("top_score"))
@@ -220,7 +226,7 @@ def audit_summary(spark, d):
 )
 def integrity_checks(spark, d):
     """Recomputed from the unique observations by another plan, and joined to the published works."""
-    u = unique(spark, d)
+    u = unique_once(spark, d)
     stats = S.global_stats(u)
     post = F.lit(0.0)
     for a, w in SPEC.weights:

@@ -36,6 +36,13 @@ class Field:
             text = c.cast("string")
         return F.when(c.isNull(), F.lit("—")).otherwise(text)
 
+    def sought(self) -> Column:
+        """What a search sees: labels of categories, `agent 7` for a rater, plain text of everything else; nothing for null."""
+        c = F.col(self.key).cast("string")
+        if self.kind == "agent":
+            return F.concat(F.lit("agent "), c)
+        return F.replace(c, F.lit("_"), F.lit(" ")) if self.kind == "category" else c
+
     @property
     def ascending_first(self) -> bool:
         return self.kind in ASCENDING
@@ -82,7 +89,7 @@ class ExplorerQuery:
             rows = rows.where(F.col(key) == F.lit(value))
         if self.search.split():
             fields = {f.key: f for f in self.fields}
-            seen = (fields[c].shown() if c in fields else F.col(c).cast("string") for c in self.search_columns)
+            seen = (fields[c].sought() if c in fields else F.col(c).cast("string") for c in self.search_columns)
             rows = rows.where(has_tokens(F.lower(F.concat_ws(" ", *seen)), self.search))
         return rows
 

@@ -96,3 +96,12 @@ def test_normalize_folds_compatibility_forms(spark):
     for text, want in (("E\u0301mile", "emile"), ("\ufb01n", "fin"), ("İstanbul", "istanbul"), ("Ａbc １２", "abc 12"), ("Straße №5", "strasse no5"), ("Ǆungla x²", "dzungla x2")):
         assert one(spark, X.normalize(F.col("t")), t=text) == one(spark, X.normalize_full(F.col("t")), t=text) == want
     assert one(spark, X.normalize(F.col("t"), half=False, ampersand="after"), t="8½") == "81 2"
+
+
+def test_search_of_selections(spark):
+    fields = (Field("rater", "Agent", "agent"), Field("list", "List", "category"), Field("medium", "Medium", "category"), Field("year", "Year", "year"))
+    rows = spark.createDataFrame([(7, "traditional_mystery", "tv_series", 1999), (70, "ambition", None, None)], "rater long, list string, medium string, year int")
+    q = ExplorerQuery(fields, search_columns=("rater", "list", "medium", "year"))
+    found = lambda text: sorted(r.rater for r in q.searched(text).matching(rows).collect())
+    assert found("agent 7") == [7, 70] and found("TV traditional 1999") == [7] and found("mystery series agent") == [7]
+    assert found("—") == [] and found("tv_series") == [] and found(" ") == [7, 70]

@@ -101,7 +101,7 @@ def aggregate(
     to = canon.select("cluster", *(F.col(c).alias(f"to_{c}") for c in IDENTITY))
     differs = F.lit(False)
     for c in IDENTITY:
-        differs = differs | (F.col(c) != F.col(f"to_{c}"))
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"to_{c}"))
     merges = members.join(to, "cluster").where(differs).select(*IDENTITY, *(f"to_{c}" for c in IDENTITY), F.col("n").alias("observations"))
     return Aggregate(works, shown, picks, stats, canon.where("out").drop("out"), merges, rolled.decisions.join(rolled.identities, "id").drop("id"), within)
 

@@ -7,6 +7,7 @@ from tallyloom.functions import text as X
 from tallyloom.operators import identity as I
 from tallyloom.operators.components import components
 from tallyloom.operators.explorer import ExplorerQuery, Field
+from tallyloom.operators.lookups import verify_in_turn
 
 
 def one(spark, column, **values):
@@ -105,3 +106,21 @@ def test_search_of_selections(spark):
     found = lambda text: sorted(r.rater for r in q.searched(text).matching(rows).collect())
     assert found("agent 7") == [7, 70] and found("TV traditional 1999") == [7] and found("mystery series agent") == [7]
     assert found("—") == [] and found("tv_series") == [] and found(" ") == [7, 70]
+
+
+def test_sources_in_turn_keep_errors_and_earlier_verdicts(spark):
+    schema = "k int, evidence string, error string"
+    one = spark.createDataFrame([(1, None, "timeout"), (2, "a", None), (3, None, "refused")], schema)
+    two = spark.createDataFrame([(1, "b", None), (2, None, "late"), (3, None, "timeout"), (4, "c", "odd")], schema)
+    pending = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (None,)], "k int")
+    prior = spark.createDataFrame([(4, "old"), (9, "x"), (5, None)], "k int, evidence string")
+    got = {r.k: (r.status, r.source, r.evidence, r.errors) for r in verify_in_turn(pending, [one, two], ["k"], prior).collect()}
+    assert got == {
+        1: ("verified", 1, "b", ["timeout"]),
+        2: ("verified", 0, "a", []),
+        3: ("unverified", None, None, ["refused", "timeout"]),
+        4: ("verified", -1, "old", []),
+        5: ("unverified", None, None, []),
+        None: ("unverified", None, None, []),
+    }
+    assert verify_in_turn(pending.limit(0), [one], ["k"]).count() == 0

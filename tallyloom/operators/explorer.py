@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import csv_cell, has_tokens
+from tallyloom.functions.text import csv_cell, has_tokens, one_decimal
 
 #: Kinds of columns whose first direction is ascending; numbers start from the high end.
 ASCENDING = ("text", "category", "year", "rank")
@@ -27,7 +27,7 @@ class Field:
         if self.kind == "number":
             text = F.format_string("%.2f", c.cast("double"))
         elif self.kind == "percent":
-            text = F.concat(F.format_string("%.1f", c.cast("double") * 100), F.lit("%"))
+            text = F.concat(one_decimal(c.cast("double") * 100), F.lit("%"))
         elif self.kind == "agent":
             text = F.lpad(c.cast("string"), F.greatest(F.lit(3), F.length(c.cast("string"))), F.lit("0"))
         elif self.kind == "category":

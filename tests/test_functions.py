@@ -100,6 +100,15 @@ def test_band_pairs_equal_brute_force_without_a_shuffle_of_pairs(spark):
         assert (case is again) == out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
 
 
+def test_percent_is_printf_of_the_exact_value(spark):
+    draw = random.Random(5)
+    rates = [15 / 6000, 9 / 6000, 27 / 6000, 0.0035, 0.0015, 0.9995, 0.0, -0.0045, 1.0, *(k / 2000 for k in range(0, 2001)), *(draw.random() for _ in range(2000))]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(rates)] + [(-1, None)], "k int, rate double")
+    got = dict(rows.select("k", Field("rate", "Rate", "percent").shown()).collect())
+    assert got.pop(-1) == "—" and got == {k: "%.1f%%" % (100 * x) for k, x in enumerate(rates)}
+    assert got[0] == "0.2%"
+
+
 def test_explorer(spark):
     fields = (Field("rank", "Rank", "rank"), Field("title", "Title, full", "text"), Field("score", "Score", "number"))
     rows = spark.createDataFrame([(1, "b", 2.0), (2, 'a "x"', None), (3, "c", 2.0), (4, "d", 3.5)], "rank int, title string, score double")

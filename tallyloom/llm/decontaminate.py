@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.shared import ship, worker_cache
-from tallyloom.llm.shingles import gram_hashes, words_of
+from tallyloom.llm.shingles import gram_hashes, mixed
 from tallyloom.session import written
 
 SEED_WORDS = 3
@@ -40,29 +40,131 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: Test texts that are broadcast at once; a larger test set goes in several blocks.
 BLOCK_BYTES = 16 << 20
 MEMO_ENTRIES = 800_000
+#: Words of more bytes, and those beyond ASCII, are hashed one by one.
+MEMO_WORD_BYTES = 64
+#: Texts whose words are held at once, and bytes that are hashed at once (a longer text or word is taken whole).
+GROUP_BYTES = 4 << 20
+PIECE_BYTES = 1 << 17
 _FILTER_BITS = 22
 
 
+def _plain_bytes() -> np.ndarray:
+    """For each ASCII byte its lower case, 0 where it is dropped from plain words; 0 for bytes beyond ASCII."""
+    return np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 0 for b in range(256)], dtype=np.uint8)
+
+
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_PLAIN = _plain_bytes()
+#: Random bits for each place of a plain ASCII word and each byte there: the sum of a word's is mixed to its hash.
+_TERMS = mixed(np.arange(1, 256 * (MEMO_WORD_BYTES + 1) + 1, dtype=np.uint64))
+
+
+def _hash(plain: bytes) -> int:
+    """The hash of one plain word, as _ascii_hashes has it for ASCII ones."""
+    if len(plain) > MEMO_WORD_BYTES or not plain.isascii():
+        return xxhash.xxh64_intdigest(plain) | 1
+    at = np.arange(len(plain)) * 256 + np.frombuffer(plain, dtype=np.uint8)
+    return int(mixed(_TERMS[at].sum(keepdims=True))[0]) | 1
+
+
 class _PlainHashes(dict):
     """Hash of a word in lower case without punctuation; 0 where nothing is left."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        plain = "".join(c for c in word.decode("utf-8").lower() if c.isalnum())
-        h = xxhash.xxh64_intdigest(plain.encode()) | 1 if plain else 0
-        if len(word) <= 64:
+        plain = "".join(c for c in word.decode("utf-8").lower() if c.isalnum()).encode()
+        h = _hash(plain) if plain else 0
+        if len(word) <= MEMO_WORD_BYTES:
             self[word] = h
         return h
 
 
+def _piece_hashes(buf: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a piece of texts that begin at heads; ASCII words without a loop over them."""
+    space = _IS_SPACE[buf]
+    first = np.ones(len(buf), dtype=bool)
+    first[1:] = space[:-1]
+    first[heads] = True
+    first = np.flatnonzero(first & ~space)
+    h = np.zeros(len(first), dtype=np.uint64)
+    if not len(first):
+        return first, h
+    low = _PLAIN[buf]
+    kept = low != 0
+    # Kept bytes before each word and in it, and the place of each kept byte in its word.
+    before = np.cumsum(kept, dtype=np.int64)
+    total = int(before[-1])
+    before = before[first] - kept[first]
+    size = np.diff(before, append=total)
+    at = np.arange(total) - np.repeat(before, size)
+    if size.max() > MEMO_WORD_BYTES:
+        np.minimum(at, MEMO_WORD_BYTES, out=at)
+    real = np.flatnonzero(size)
+    if len(real):
+        h[real] = mixed(np.add.reduceat(_TERMS[at * 256 + low[kept]], before[real])) | np.uint64(1)
+    one_by_one = size > MEMO_WORD_BYTES
+    if buf.max() > 127:
+        one_by_one |= np.maximum.reduceat(buf, first) > 127
+    one_by_one = np.flatnonzero(one_by_one)
+    if len(one_by_one):
+        memo = worker_cache(("plain",), _PlainHashes, large=True)
+        raw, ends = buf.tobytes(), np.append(first[1:], len(buf))
+        words = (raw[a:b].rstrip() for a, b in zip(first[one_by_one].tolist(), ends[one_by_one].tolist(), strict=True))
+        h[one_by_one] = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(one_by_one))
+    return first, h
+
+
+@dataclass
+class PlainWords:
+    """Plain words of some texts, one after another."""
+
+    #: Row of the first text, and for each text and the end the plain words before it and all words before it.
+    row: int
+    cuts: np.ndarray
+    all_cuts: np.ndarray
+    #: The hash of each plain word and its place among all words.
+    h: np.ndarray
+    at: np.ndarray
+
+
+def plain_words(texts: pa.Array) -> Iterator[PlainWords]:
+    """The plain words of texts (null: none), by groups of whole texts of about GROUP_BYTES."""
+    if not len(texts):
+        return
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
+    row = 0
+    while row < len(texts):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + GROUP_BYTES, "right")) - 1)
+        heads = ends[row : stop + 1] - ends[row]
+        group = whole[ends[row] : ends[stop]]
+        starts, hashes = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
+        a = 0
+        while a < len(group):
+            # A piece ends behind white space, so that it cuts no word.
+            b = a + PIECE_BYTES
+            while b < len(group) and not len(gaps := np.flatnonzero(_IS_SPACE[group[b - 1024 : b]])):
+                b += PIECE_BYTES
+            b = b - 1023 + int(gaps[-1]) if b < len(group) else len(group)
+            lo, hi = np.searchsorted(heads, (a, b))
+            first, h = _piece_hashes(group[a:b], heads[lo:hi] - a)
+            starts.append(first + a)
+            hashes.append(h)
+            a = b
+        h = np.concatenate(hashes)
+        all_cuts = np.searchsorted(np.concatenate(starts), heads)
+        at = np.flatnonzero(h)
+        yield PlainWords(row, np.searchsorted(at, all_cuts), all_cuts, h[at], at)
+        row = stop
+
+
 def plain_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the plain words of a text, and the place of each among all its words."""
-    words = words_of(text)
-    memo = worker_cache(("plain",), _PlainHashes, large=True)
-    h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    at = np.flatnonzero(h)
-    return h[at], at
+    (words,) = plain_words(pa.array([text], pa.large_string()))
+    return words.h, words.at
 
 
 def _local(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -121,26 +223,36 @@ class Block:
         rank = np.arange(len(order)) - np.repeat(start, size)
         self._set(self.grams[order], self.gram_item[order], self.gram_at[order], rank < np.repeat((size + 1) // 2, size))
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of runs of h that are among the grams, and their places in the sorted grams."""
-        own = gram_hashes(h, SEED_WORDS)
-        at = np.flatnonzero(self.maybe[(own >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]) if len(own) else np.empty(0, dtype=np.int64)
+    def hits(self, words: PlainWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of runs that are among the grams and lie in one text, their texts, and their places in the sorted grams."""
+        own = gram_hashes(words.h, SEED_WORDS)
+        at = np.flatnonzero(self.maybe[(own >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(at) or not len(self.grams):
-            return at[:0], at[:0]
+            return at[:0], at[:0], at[:0]
         k = np.searchsorted(self.grams, own[at])
-        real = (k < len(self.grams)) & (self.grams[np.minimum(k, len(self.grams) - 1)] == own[at])
-        return at[real], k[real]
+        text = np.searchsorted(words.cuts, at, "right") - 1
+        real = (k < len(self.grams)) & (self.grams[np.minimum(k, len(self.grams) - 1)] == own[at]) & (at + SEED_WORDS <= words.cuts[text + 1])
+        return at[real], text[real], k[real]
 
     def _reaches(self, item: int, near: list[int], min_score: float) -> bool:
         """Whether an alignment of an item with these words can reach min_score: each word in common adds MATCH at most."""
         words = self.items[item][1].tolist()
         return sum(map(set(near).__contains__, words)) >= min_score * len(words)
 
-    def matches(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int]]:
-        """(item id, score, first word, word after the last) of the best alignment with each item that reaches min_score."""
-        h, place = plain_hashes(text)
-        starts, seeds = self.hits(h)
-        plain = h.tolist() if len(starts) else []
+    def matches(self, texts: pa.Array, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """(row, item id, score, first word, word after the last) of the best alignment of each text with each item that
+        reaches min_score."""
+        for words in plain_words(texts):
+            starts, text, seeds = self.hits(words)
+            for t, a, n in zip(*np.unique(text, return_index=True, return_counts=True), strict=True):
+                c, d = words.cuts[t : t + 2]
+                place = words.at[c:d] - words.all_cuts[t]
+                for found in self._matches(words.h[c:d], place, starts[a : a + n] - c, seeds[a : a + n], min_score):
+                    yield words.row + int(t), *found
+
+    def _matches(self, h: np.ndarray, place: np.ndarray, starts: np.ndarray, seeds: np.ndarray, min_score: float) -> list[tuple[int, float, int, int]]:
+        """(item id, score, first word, word after the last) in one text, from the places of its seeds."""
+        plain = h.tolist()
         spans: dict[int, list[list[int]]] = {}
         for p, k in zip(starts.tolist(), seeds.tolist(), strict=True):
             gram = self.grams[k]
@@ -189,8 +301,9 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, bench_text_co
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             n = np.zeros(len(sent.value.grams), dtype=np.int64)
             for batch in batches:
-                for text in batch.column(0):
-                    n[np.unique(sent.value.hits(plain_hashes(text.as_py())[0])[1])] += 1
+                for words in plain_words(batch.column(0)):
+                    _, text, seed = sent.value.hits(words)
+                    np.add.at(n, np.unique(np.stack([text, seed]), axis=1)[1], 1)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(sent.value.grams[at].view(np.int64)), pa.array(n[at])], names=["gram", "n"])
 
@@ -211,7 +324,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(i.as_py(), *m) for i, t in zip(*batch.columns, strict=True) for m in block.value.matches(t.as_py(), min_score)]
+                rows = [(batch.column(0)[row].as_py(), *m) for row, *m in block.value.matches(batch.column(1), min_score)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
@@ -221,17 +334,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     return out
 
 
+def _clean(block: Broadcast[Block], min_score: float):
+    """Whether a text has none of the block's items, as a function of columns."""
+
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        kept = np.ones(len(texts), dtype=bool)
+        kept[[row for row, *_ in block.value.matches(texts, min_score)]] = False
+        return pa.array(kept)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows in which a test item is found; the columns of docs, no shuffle. Rows that one block leaves
     are written before the next block, so that a task never holds two."""
     blocks = prepared(docs, benchmark, text_col, "text", "item_id")
     for k, block in enumerate(blocks):
 
-        @F.udf(T.BooleanType(), useArrow=True)
-        def clean(text, block=block):
-            return not block.value.matches(text, min_score)
-
-        docs = docs.where(clean(F.col(text_col).cast("string")))
+        docs = docs.where(_clean(block, min_score)(F.col(text_col).cast("string")))
         if k + 1 < len(blocks):
             docs = written(docs, "clean-of-block")
     return docs

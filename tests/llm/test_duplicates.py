@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tallyloom.llm import decontaminate, minhash_dedup, substring_dedup
@@ -215,6 +216,34 @@ def test_leaks_against_every_alignment(spark, benchmark):
     assert want and found == want
 
 
+def test_plain_words_of_a_batch(documents, monkeypatch):
+    odd = [None, "", " \n", "...", "Don't STOP dont", "a" * 64 + " " + "A" * 65 + " " + "a" * 65, "\u201cWord\u201d word", "Stra\u00dfe \u0130 \u03a3\u03a3 x\u0301", "-" * 3000 + "end END", "tail", "head\x0bx\x0c\r\ny", "\u4f60\u597d" * 900]
+    texts = [*odd, *(r.text for r in documents.limit(40).collect()), *odd]
+    plain = [["".join(c for c in w.decode().lower() if c.isalnum()) for w in words_of(t)] for t in texts]
+    want = [(k, i, w) for k, words in enumerate(plain) for i, w in enumerate(words) if w]
+    names: dict[int, str] = {}
+    for group, piece in ((4 << 20, 1 << 17), (5000, 1024), (1, 2000)):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group)
+        monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
+        got = []
+        for x in decontaminate.plain_words(pa.array(["cut off", *texts])[1:]):
+            for j, (a, b) in enumerate(zip(x.cuts[:-1], x.cuts[1:], strict=True)):
+                got += [(x.row + j, int(p - x.all_cuts[j]), int(h)) for p, h in zip(x.at[a:b], x.h[a:b], strict=True)]
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(names.setdefault(h, w) == w for (_, _, h), (_, _, w) in zip(got, want, strict=True))
+    assert len(names) == len({w for _, _, w in want})
+    assert not list(decontaminate.plain_words(pa.array([], pa.string())))
+
+
+def test_ascii_words_are_hashed_without_a_loop(monkeypatch):
+    def refused(memo, word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(decontaminate._PlainHashes, "__missing__", refused)
+    h, place = decontaminate.plain_hashes("Loopless-word 42, ... LOOPLESSWORD!")
+    assert place.tolist() == [0, 1, 3] and h[0] == h[2] != h[1]
+
+
 def test_blocks_of_the_test_set(spark, documents, benchmark, monkeypatch):
     whole = sorted(map(tuple, decontaminate.query(documents, benchmark).collect()))
     left = {r.doc_id for r in decontaminate.drop_contaminated(documents, benchmark).collect()}

@@ -16,14 +16,15 @@ makes a longer chunk.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from tallyloom.llm.shared import ship, vocabulary, vocabulary_path, worker_cache
 from tallyloom.session import scratch_path
 
 END_ID = 1
+END = END_ID.to_bytes(4, "little")
 #: Ids of a block that is transposed as a whole, and ids after which a chunk is closed.
 BLOCK_IDS = 8_192
 CHUNK_IDS = 1 << 20
@@ -108,18 +110,26 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(0x100 + other.index(b)) for b in range(256)]
 
 
-BYTE_LETTERS = _byte_letters()
+BYTE_LETTERS = "".join(_byte_letters())
+#: First bytes in UTF-8 of the combining marks that may join an ASCII letter, not in one case alike.
+MARKS = (b"\xcc", b"\xcd")
 
 
 def _ends_in_letter(core: bytes) -> bool:
     """Whether the tokenizer surely breaks between core and ASCII punctuation: after an ASCII or Latin letter or a digit."""
+    if core[-1:].isalnum():
+        return True
     last = core[-4:].decode("utf-8", "ignore")[-1:]
     return last.isalnum() and (last.isascii() or "\u00c0" <= last <= "\u024f")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _WordIds(dict):
-    """Ids of words between ASCII white space. The tokenizer turns white space into breaks, so that a text's ids are
-    those of its words in turn. Case and trailing punctuation are resolved before the tokenizer is asked, since it
+    """Ids of words between ASCII white space, as bytes. The tokenizer turns white space into breaks, so that a text's ids
+    are those of its words in turn. Case and trailing punctuation are resolved before the tokenizer is asked, since it
     lowers case and breaks there itself, and words differ in them far more than in their letters."""
 
     def __init__(self, raw: bytes):
@@ -127,17 +137,18 @@ class _WordIds(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(raw.decode("utf-8"))
-        self.model = self.tokenizer.model
+        self.merge = self.tokenizer.model.tokenize
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        core = word.rstrip(PUNCTUATION)
-        if b"<|" in word:  # may hold a special token, which is told apart before anything else
+        if word.isalpha() and word.islower():  # ASCII letters, which are their own byte letters
+            ids = _packed([t.id for t in self.merge(word.decode())])
+        elif b"<|" in word:  # may hold a special token, which is told apart before anything else
             ids = self._whole(word)
         elif word.isascii() and (low := word.lower()) != word:
             ids = self[low]
-        elif core and len(core) < len(word) and _ends_in_letter(core):
+        elif (core := word.rstrip(PUNCTUATION)) and len(core) < len(word) and _ends_in_letter(core):
             ids = self[core] + self[word[len(core) :]]
         elif LATIN(text := word.decode("utf-8")):
             ids = self._letters(text)
@@ -147,12 +158,20 @@ class _WordIds(dict):
             self[word] = ids
         return ids
 
-    def _letters(self, word: str) -> tuple[int, ...]:
+    def _letters(self, word: str) -> bytes:
         """Ids of Latin letters in their composed form: one pre-token, so its lower-case bytes go to the merges at once."""
-        return tuple(t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, word.lower().encode("utf-8")))))
+        return _packed([t.id for t in self.merge(codecs.charmap_decode(word.lower().encode("utf-8"), "strict", BYTE_LETTERS)[0])])
+
+    def _whole(self, word: bytes) -> bytes:
+        return _packed(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
 
-    def _whole(self, word: bytes) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+    def text(self, text: str) -> np.ndarray:
+        """The ids of a text and the end id. ASCII letters are lowered at once, but for special tokens and for marks: J and
+        a caron stay two characters, where j and a caron become one."""
+        raw = text.encode("utf-8")
+        if b"<|" not in raw and not any(m in raw for m in MARKS):
+            raw = raw.lower()
+        return np.frombuffer(b"".join([*map(self.__getitem__, raw.split()), END]), dtype="<u4")
 
 
 #: The rules of a tokenizer file under which a text's ids are those of its words.
@@ -174,12 +193,7 @@ def _encoder(raw: bytes):
 
         whole = worker_cache(("tokenizer", len(raw), hash(raw)), lambda: Tokenizer.from_str(raw.decode("utf-8")), large=True)
         return lambda text: np.array([*whole.encode(text, add_special_tokens=False).ids, END_ID], dtype="<u4")
-    words = worker_cache(("word_ids", len(raw), hash(raw)), lambda: _WordIds(raw), large=True)
-
-    def encode(text: str) -> np.ndarray:
-        return np.fromiter(chain(chain.from_iterable(map(words.__getitem__, text.encode("utf-8").split())), (END_ID,)), dtype="<u4")
-
-    return encode
+    return worker_cache(("word_ids", len(raw), hash(raw)), lambda: _WordIds(raw), large=True).text
 
 
 def write_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", kind: str = "byte", vocabulary_file: str | None = None) -> None:

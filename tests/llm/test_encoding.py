@@ -66,6 +66,17 @@ def test_word_ids_on_odd_texts(text):
     assert token_store._encoder(WORDS)(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [1]
 
 
+@pytest.mark.parametrize("text", ["J\u030c j\u030c W\u030a H\u0331A\u0301", "\u212aA \u03a3A A\u03a3 \u00c9T\u00c9", "A<|ENDOFTEXT|>B", "STRA\u00dfE, \u0130I. \u1e9eX!", "A\u1dc4 E\u20d7 N\u0f73"])
+def test_word_ids_of_texts_in_capitals(text):
+    assert token_store._encoder(WORDS)(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_memo_of_words_knows_one_case():
+    words = token_store._WordIds(WORDS)
+    assert words.text("Loose, LOOSE loose, l\u00d6se L\u00d6se").tolist() == TOKENIZER.encode("loose, loose loose, l\u00f6se l\u00f6se", add_special_tokens=False).ids + [1]
+    assert set(words) == {w.encode() for w in ("loose,", "loose", ",", "l\u00d6se")}
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 @pytest.mark.parametrize("n", [1, 8192, 8193, 30_000])
 def test_planes_round_trip(kind, n):
